@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
+#: Token sets up to this size keep their parity bits in one long.
+SHORT = 64
 
 
 def words(text: Column) -> Column:
     """Lower-case words split at white space; may hold empty strings."""
-    return F.split(F.lower(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " ", -1)
+    return F.split(F.lower(text), r"\s+", -1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     each = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
-    return each.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")) != "").withColumn("h", F.xxhash64("line"))
+    return each.where(F.rlike("line", F.lit(r"\S"))).withColumn("h", F.xxhash64("line"))
 
 
 def _bucket(h: Column) -> Column:
@@ -69,7 +71,7 @@ def token_set(line: Column, rank: Column) -> Column:
         high = F.shiftleft(F.get(rank, _bucket(h)).cast("long"), 55)
         return high.bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(words(line), lambda w: w != ""), one)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words(line), ""), one)))
 
 
 def _share(threshold: float) -> Column:
@@ -78,34 +80,59 @@ def _share(threshold: float) -> Column:
 
 
 def _sketch(tokens: Column) -> list[Column]:
-    """Two longs of parity bits: their XOR has at most as many ones as the sets differ in tokens."""
+    """Parity bits of a token set: the XOR of two sets' bits has at most as many ones as the sets differ in tokens.
 
-    def half(which: int) -> Column:
-        def flip(acc: Column, t: Column) -> Column:
-            at = t.bitwiseAND(F.lit(63).cast("long")).cast("int")
-            mine = F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("long")) == which
-            return F.when(mine, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))).otherwise(acc)
+    Up to ``SHORT`` tokens all bits are in the first long and the second is 0. Longer sets spread over both; the XOR of
+    their two longs is what the short form would be.
+    """
+    one = F.lit(1).cast("long")
+    at = lambda t: t.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    side = lambda t: F.shiftright(t, 6).bitwiseAND(one)
+    shifted = lambda v, t: F.call_function("shiftleft", v, at(t))
+    zero = F.lit(0).cast("long")
+    whole = F.aggregate(tokens, zero, lambda a, t: a.bitwiseXOR(shifted(one, t)))
+    second = F.when(F.size(tokens) > SHORT, F.aggregate(tokens, zero, lambda a, t: a.bitwiseXOR(shifted(side(t), t)))).otherwise(zero)
+    return [whole, second]
 
-        return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
-    return [half(0), half(1)]
+def _differ() -> Column:
+    """At least this many tokens are in only one of x and y."""
+    ones = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    both = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")).bitwiseXOR(F.col("x.s2")).bitwiseXOR(F.col("y.s2")))
+    return F.when((_n("x") > SHORT) & (_n("y") > SHORT), ones("s2") + both).otherwise(ones("s1"))
 
 
 def _postings(sets: DataFrame, threshold: float, *carried: str) -> DataFrame:
-    """A row for each prefix token: (tok, i, n) and the carried columns; i is the token's place, n the set's size."""
+    """A row for each prefix token: ``p`` packs 32 bits of the token, its place and the set's size; and the carried columns.
+
+    Cutting the token to 32 bits can only bring more candidates.
+    """
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    return sets.select(*carried, n.alias("n"), F.posexplode(prefix).alias("i", "tok"))
+    each = sets.select(*carried, "tokens", n.cast("long").alias("n"), F.posexplode(prefix).alias("i", "tok"))
+    low = F.least(F.col("i").cast("long"), F.lit(0x7FFF).cast("long")) * 65536 + F.least("n", F.lit(0xFFFF).cast("long"))
+    packed = F.shiftleft("tok", 32).bitwiseOR(low)
+    return each.select(packed.alias("p"), "i", "tokens", *carried)
+
+
+def _tok(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.p"), 32)
+
+
+def _n(side: str) -> Column:
+    return F.col(f"{side}.p").bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+
+def _i(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.p"), 16).bitwiseAND(F.lit(0x7FFF).cast("long"))
 
 
 def _may_match(threshold: float) -> Column:
-    """Length and positional filters on the rows x and y of one shared prefix token."""
-    x_n, y_n, x_i, y_i = (F.col(c) for c in ("x.n", "y.n", "x.i", "y.i"))
-    need = _share(threshold) * (x_n + y_n) - 1e-9
-    return (
-        (F.least(x_n, y_n) >= F.lit(threshold) * F.greatest(x_n, y_n) - 1e-9)
-        & (F.least(x_n - x_i, y_n - y_i) >= need)
-    )
+    """Length and positional filters on the rows x and y of one shared prefix token; sets too large to pack pass."""
+    big = F.greatest(_n("x"), _n("y")) >= 0xFFFF
+    need = _share(threshold) * (_n("x") + _n("y")) - 1e-9
+    length = F.least(_n("x"), _n("y")) >= F.lit(threshold) * F.greatest(_n("x"), _n("y")) - 1e-9
+    return big | (length & (F.least(_n("x") - _i("x"), _n("y") - _i("y")) >= need))
 
 
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -115,27 +142,34 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     rank = rarity(docs)
     sets = distinct.select("h", token_set(F.col("first.line"), rank).alias("tokens"))
     s1, s2 = _sketch(F.col("tokens"))
-    light = _postings(sets.select("h", "tokens", s1.alias("s1"), s2.alias("s2")), threshold, "h", "s1", "s2")
-    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    total = F.col("x.n") + F.col("y.n")
+    light = _postings(sets.select("h", "tokens", s1.alias("s1"), s2.alias("s2")), threshold, "h", "s1", "s2").select("p", "h", "s1", "s2")
+    total = _n("x") + _n("y")
+    big = F.greatest(_n("x"), _n("y")) >= 0xFFFF
     near = (
-        (F.col("x.tok") == F.col("y.tok"))
+        (_tok("x") == _tok("y"))
         & (F.col("x.h") != F.col("y.h"))
         & _may_match(threshold)
-        & (differ <= total - 2 * (_share(threshold) * total - 1e-9))
+        & (big | (_differ() <= total - 2 * (_share(threshold) * total - 1e-9)))
     )
-    paired = light.alias("x").join(light.alias("y"), near, "left_semi").select("h").distinct()
+    # Two matching lines meet at the first token they share, in rows that both pass; only such rows go on.
+    paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h").agg(F.collect_set("p").alias("ps"))
     kept = distinct.join(paired, "h")
-    full = kept.select("h", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), token_set(F.col("first.line"), rank).alias("tokens"))
-    heavy = _postings(full, threshold, "h", "d", "l", "tokens")
+    full = kept.select(
+        "h", "ps", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), token_set(F.col("first.line"), rank).alias("tokens")
+    )
+    heavy = full.select("h", "d", "l", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
+    # What they share stands from there on, so earlier tokens need not travel; a place too large to pack keeps them all.
+    place = F.shiftright("p", 16).bitwiseAND(F.lit(0x7FFF).cast("long")).cast("int")
+    place = F.when(place == 0x7FFF, 0).otherwise(place)
+    heavy = heavy.select("p", "h", "d", "l", "size", F.slice("tokens", place + 1, F.col("size")).alias("rest"))
     earlier = F.struct(F.col("y.d"), F.col("y.l")) < F.struct(F.col("x.d"), F.col("x.l"))
-    shared = F.size(F.array_intersect(F.col("x.tokens"), F.col("y.tokens")))
+    shared = F.size(F.array_intersect(F.col("x.rest"), F.col("y.rest")))
     verified = (
-        (F.col("x.tok") == F.col("y.tok"))
+        (_tok("x") == _tok("y"))
         & (F.col("x.h") != F.col("y.h"))
         & _may_match(threshold)
         & earlier
-        & (shared >= _share(threshold) * total - 1e-9)
+        & (shared >= _share(threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     )
     return distinct, heavy.alias("x").join(heavy.alias("y"), verified, "left_semi").select("h").distinct()
 
