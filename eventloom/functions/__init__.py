@@ -1 +1 @@
-
+"""Column expressions. Everything here stays in built-in functions."""

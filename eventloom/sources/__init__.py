@@ -1 +1 @@
-
+"""Scans, sinks and parsers of listings."""
