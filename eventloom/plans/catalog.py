@@ -181,7 +181,7 @@ def scl37(spark: SparkSession, d: str) -> DataFrame:
 # --- classification -------------------------------------------------------------------------------
 _SLUGS = f"slugs as materialized (select id, title, {s.slug('title')} as t, {s.slug('raw_category')} as r, {s.slug('venue')} as v from fx)"
 _DOC = f"slugs as materialized (select doc_id, {s.slug('text')} as t from documents)"
-_NO = F.lit(None).cast("string")
+no = lambda: F.lit(None).cast("string")
 
 
 def _slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +201,8 @@ query("scl24_region", _fx(f"select id, {s.region('v')} as region from slugs", _S
 query("scl33_exclusion", _fx(f"select id, {s.exclusion('lower(title)')} as reason from fx"))(
     lambda spark, d: _slugs(spark, d).select("id", classify.exclusion_reason(c("title"), F.lit("musik"), c("v"), F.lit(""), F.lit("")).alias("reason"))
 )
-query("scl14_tags")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.tags(c("t"), c("v"), _NO)).alias("tags")))
-query("scl32_facets")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.facets(c("t"), c("category"), c("v"), _NO)).alias("facets")))
+query("scl14_tags")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.tags(c("t"), c("v"), no())).alias("tags")))
+query("scl32_facets")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.facets(c("t"), c("category"), c("v"), no())).alias("facets")))
 query("scl10_title_decides", f"with {_DOC} select doc_id, {s.category('t', chr(39) * 2, chr(39) * 2)} as category from slugs")(
     lambda spark, d: _doc_slugs(spark, d).select("doc_id", classify.category(F.lit(""), c("t"), F.lit("")).alias("category"))
 )

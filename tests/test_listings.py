@@ -1,0 +1,119 @@
+"""Expected values of single expressions, of clustering and of the build chain."""
+
+import difflib
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventloom.functions import classify, text as tx
+from eventloom.operators import dedup, merge, venues
+from eventloom.operators.components import connected_components
+
+
+def one(spark, expr, **cols):
+    df = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{k} string" for k in cols))
+    return df.select(expr.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "raw, slug",
+    [("  Straße & Größe!", "strasse-groesse"), ("Café Été", "cafe-ete"), (None, ""), ("---", ""), ("Køb Ø", "kb"), ("½ ﬁ", "12")],
+)
+def test_slugify(spark, raw, slug):
+    assert one(spark, tx.slugify(F.col("t")), t=raw) == slug
+
+
+@pytest.mark.parametrize(
+    "title, raw, venue, want",
+    [
+        ("Demo gegen rechts", None, None, "demo"),
+        ("Demonstration der Technik", None, None, "sonstiges"),
+        ("Stadtführung im Regen", None, None, "fuehrungen"),
+        ("Vorführung", None, None, "sonstiges"),
+        ("Yoga im Park", None, None, "sport"),
+        ("Heimspiel", "Sport", None, "sonstiges"),
+        ("Irgendwas", "Konzert", None, "musik"),
+        ("Irgendwas", None, "Schauburg", "kultur"),
+    ],
+)
+def test_category(spark, title, raw, venue, want):
+    df = spark.createDataFrame([(raw, title, venue)], "r string, t string, v string")
+    s = classify.slugged(df, rs="r", ts="t", vs="v")
+    assert s.select(classify.category(F.col("rs"), F.col("ts"), F.col("vs"))).first()[0] == want
+
+
+@pytest.mark.parametrize("venue, want", [("Schloss Wackerbarth", "umland"), ("Grassi Museum", "weiter"), ("Theater Dresden Leipzig", "dresden"), ("Kirche Pirna", "umland"), ("", "dresden")])
+def test_region(spark, venue, want):
+    assert one(spark, classify.region(tx.slugify(F.col("v"))), v=venue) == want
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(5, 5)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def listings(spark, rows):
+    cols = "id long, source string, date string, time string, title string, venue string, category string, raw_category string"
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], cols)
+
+
+def test_one_listing_of_a_source_in_a_cluster(spark):
+    rows = [
+        ("a", "2026-09-01", "20:00", "Modus", "Paula", "musik", None),
+        ("b", "2026-09-01", "20:00", "MODUS: Akua", "Paula", "musik", None),
+        ("b", "2026-09-01", "20:30", "MODUS: Anetha", "Paula", "musik", None),
+        ("c", "2026-09-02", "20:00", "Modus", "Paula", "musik", None),
+    ]
+    got = {r["id"]: r["cluster"] for r in dedup.clusters(dedup.prepared(listings(spark, rows))).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_blocking_loses_no_pair(spark):
+    names = ["Nacht der Trommeln", "Nacht der Trommel", "Nachts die Trommeln", "Jazz", "Jaz", "Grosse Jazz Nacht am Fluss", "Jazz Nacht", "ab", "Lange Reihe 7", "Lange Reihen 7"]
+    spots = ["Paula", "TBA", "Anders"]
+    rows = [(f"s{i % 3}", "2026-09-01", ["20:00", "21:10", None][i % 3], n, v, "musik", None) for i, (n, v) in enumerate(itertools.product(names, spots))]
+    prepared = dedup.prepared(listings(spark, rows))
+    got = {(r["a"], r["b"]): r["reason"] for r in dedup.accepted_pairs(prepared).collect()}
+    data = sorted((r.asDict() for r in prepared.collect()), key=lambda r: (r["time"] or "", r["id"]))
+    want = {}
+    for x, y in itertools.combinations(data, 2):
+        if x["source"] == y["source"]:
+            continue
+        ratio = difflib.SequenceMatcher(None, x["slug"], y["slug"]).ratio()
+        small = min(len(x["tokens"]), len(y["tokens"]))
+        over = len(set(x["tokens"]) & set(y["tokens"])) / small if small else 0.0
+        m = [int(t["time"][:2]) * 60 + int(t["time"][3:]) if t["time"] else None for t in (x, y)]
+        delta = 0 if None in m else min(abs(m[0] - m[1]), 1440 - abs(m[0] - m[1]))
+        if x["vkey"] and x["vkey"] == y["vkey"]:
+            if (over >= 0.8 or ratio >= 0.95) and delta <= 150 or (over >= 0.6 or ratio >= 0.75) and delta <= 90:
+                want[x["id"], y["id"]] = "ort+titel"
+        elif x["vkey"] and y["vkey"]:
+            if ratio >= 0.9 and delta <= 90:
+                want[x["id"], y["id"]] = "titel"
+        elif ratio >= 0.85 and delta <= 90:
+            want[x["id"], y["id"]] = "titel"
+        elif over >= 1.0 and small >= 2 and delta <= 90 and None not in m:
+            want[x["id"], y["id"]] = "titel+zeit"
+    assert got == want
+
+
+def test_merge_takes_fields_by_rank(spark):
+    cols = "cluster long, id long, pos int, rank int, source string, date string, time string, title string, ort string, venue string, category string, url string, image_url string, description string, price_text string"
+    rows = [
+        (1, 1, 1, 1, "a", "d", None, "Kopf", "x", "TBA", "sonstiges", "http://h/", None, "kurz", "Quelle: Haus"),
+        (1, 2, 2, 2, "b", "d", "20:00", "Zwei", "y", "Paula", "musik", "http://h/e/1", "i", "l" * 90, "5 EUR | Quelle: Haus"),
+    ]
+    r = merge.merge_clusters(spark.createDataFrame(rows, cols)).first()
+    assert (r["title"], r["time"], r["ort"], r["category"], r["url"]) == ("Kopf", "20:00", "y", "musik", "http://h/e/1")
+    assert (r["description"], r["price_text"], r["sources"]) == ("l" * 90, "5 EUR", "a,b")
+
+
+def test_unknown_spellings_share_a_new_venue(spark):
+    reg = spark.createDataFrame([("paula", "Paula", ["Club Paula"], "dresden", 0)], "slug string, name string, aliases array<string>, region string, pos int")
+    rows = spark.createDataFrame([(1, "Club Paula"), (2, "Neu (Hof)"), (3, "NEU e.V."), (4, " "), (5, None)], "id long, venue string")
+    out, new = venues.resolve(rows, reg)
+    assert {r["id"]: r["ort"] for r in out.collect()} == {1: "paula", 2: "neu", 3: "neu", 4: None, 5: None}
+    assert [(r["slug"], r["name"]) for r in new.collect()] == [("neu", "Neu (Hof)")]
