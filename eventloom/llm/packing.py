@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,28 @@ SCHEMA = (
     "tier int, step_group long"
 )
 #: Chunks remembered by a worker before it starts anew; characters encoded at once; ids queued before short tiers are packed.
-MEMO, CHARS, QUEUED = 400_000, 1_000_000, 400_000
+MEMO, CHARS, QUEUED = 600_000, 1_000_000, 400_000
 STEP_TOKENS = 65_536
 #: White space that Python splits at but the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: A mark that another mark precedes, and so belongs to its piece.
+_JOINED = re.compile(r"(?:[^\w\s]|_)[,.]\s")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+class _Codes(dict):
+    """Numbers strings in the order they are first asked for, and keeps the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        code = self[chunk] = len(self)
+        return code
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizer whose tokens never cross white space: each distinct chunk is encoded once."""
 
@@ -52,25 +68,36 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.codes = _Codes()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Pieces that may be encoded apart. Case does not count, and a mark right after a letter or digit and before
+        white space is a piece of its own, so both are undone where nothing else depends on them."""
+        if _ODD.search(text):
+            return [x for x in _SPACE.split(text) if x]
+        if "<|" in text or "Σ" in text:  # a special token's name; a letter whose lower case depends on its place
+            return text.split()
+        text = text.lower()
+        if not _JOINED.search(text):
+            for mark in ",.":
+                text = text.replace(mark + " ", f" {mark} ").replace(mark + "\n", f" {mark} ")
+        return text.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
+        if len(self.codes) > MEMO:
             self._reset()
-        chunks = [(_SPACE.split(t) if _ODD.search(t) else t.split()) for t in texts]
-        memo = self.memo
-        flat = [w for c in chunks for w in c]
-        new = [w for w in dict.fromkeys(flat) if w not in memo]
-        if new:
+        chunks = [self.chunks(t) for t in texts]
+        total = sum(map(len, chunks))
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(chunks)), np.int64, total)
+        if new := self.codes.new:
             got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            at = len(memo)
-            memo.update(zip(new, range(at, at + len(new))))
-            n = np.array([len(x) for x in got], np.int64)
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, n.sum())])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        code = np.fromiter((memo[w] for w in flat), np.int64, len(flat))
+            self.codes.new = []
         lo, n = self.starts[code], self.starts[code + 1] - self.starts[code]
         ends = np.cumsum(n)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - lo, n)]
