@@ -38,7 +38,7 @@ class Rule:
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("hex", r"[0-9a-f]{24,}", 24),  # the same as every run, short ones dropped
 )
 #: Further rules; each adds spans of its own kind.
 MORE = (
@@ -147,8 +147,6 @@ def _spans(rules: tuple[Rule, ...], text: Column, flags: Column) -> Column:
             own = sp.found(text, r.pattern, k, group=r.group, keep_group=long_enough)
         if trigram_query(r.pattern):
             gate = F.array_contains(flags, r.kind)
-        elif m := re.fullmatch(r"(\[[^\]]+\])\+", r.pattern):
-            gate = F.rlike(text, F.lit(f"{m[1]}{{{r.least}}}"))  # a long enough run exists
         else:
             gate = F.rlike(text, F.lit(r.pattern))
         parts.append(F.when(gate, own).otherwise(F.array().cast(sp.NONE)))

@@ -32,15 +32,16 @@ def found(
     """
     rx = F.lit(pattern)
     hits, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, pattern, -1)
-    ok: Callable[[Column, Column], Column] = lambda m, i: F.lit(True)
-    if keep is not None:
-        ok = lambda m, i: keep(m)
-    if group is not None:
-        parts = F.regexp_extract_all(text, rx, F.lit(group))
-        ok = lambda m, i: keep_group(F.get(parts, i))
+    parts = hits if group is None else F.regexp_extract_all(text, rx, F.lit(group))
+    # Whole arrays are zipped, so that each is made once a text; the last gap has no match.
+    both = F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    rows = F.zip_with(both, parts, lambda b, p: F.struct(b["m"].alias("m"), b["g"].alias("g"), p.alias("p")))
+    test = keep if group is None else keep_group
     sized = F.transform(
-        hits,
-        lambda m, i: F.struct(F.length(m).alias("n"), F.length(F.get(gaps, i)).alias("g"), ok(m, i).alias("ok")),
+        F.filter(rows, lambda r: r["m"].isNotNull()),
+        lambda r: F.struct(
+            F.length(r["m"]).alias("n"), F.length(r["g"]).alias("g"), (test(r["p"]) if test is not None else F.lit(True)).alias("ok")
+        ),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
     walked = F.aggregate(
