@@ -71,7 +71,9 @@ def token_set(line: Column, rank: Column) -> Column:
         high = F.shiftleft(F.get(rank, _bucket(h)).cast("long"), 55)
         return high.bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words(line), ""), one)))
+    found = F.sort_array(F.array_distinct(F.transform(F.array_remove(words(line), ""), one)))
+    # Never null, so no join infers a null check that would build every line's set once more.
+    return F.coalesce(found, F.array().cast("array<long>"))
 
 
 def _share(threshold: float) -> Column:
