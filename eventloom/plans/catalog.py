@@ -478,9 +478,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q["build_events"] = flagship
 
 
+def _load() -> None:
+    from . import more  # noqa: F401  registers its queries on import
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
