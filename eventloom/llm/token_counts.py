@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import ensure_checkpoint_dir
+
 _ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 #: Lengths summed in one window partition; the partitions' totals are few.
 BLOCK = 1024
@@ -46,8 +48,9 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(n_tokens, n_docs), one row a length that occurs."""
-    return encoded_lengths(docs, path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs), one row a length that occurs; checkpointed, so that its readers encode no text again."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    return encoded_lengths(docs, path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs")).checkpoint()
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
