@@ -129,9 +129,10 @@ def accepted_pairs(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> Data
         F.col("x.slug").alias("s"),
         F.col("y.slug").alias("t"),
     )
-    # The ratio runs in Python; pairs whose lengths leave it no chance are passed as null, which costs nothing there.
+    # The ratio runs in Python; pairs whose lengths leave it no chance to decide or to raise the score are passed as null, which costs nothing there.
     bound = 2 * F.least(F.length("s"), F.length("t")) / F.greatest(F.length("s") + F.length("t"), F.lit(1))
-    rated = j.withColumn("ratio", title_ratio(F.when(bound >= VENUE_RATIO, F.col("s")), "t"))
+    raises = (F.col("where") == "same") & (F.col("overlap") >= VENUE_OVERLAP) & (bound > F.col("overlap"))
+    rated = j.withColumn("ratio", title_ratio(F.when((bound >= VENUE_RATIO) | raises, F.col("s")), "t"))
     o, r = F.col("overlap"), F.col("ratio")
     at = lambda most: F.col("delta").isNull() | (F.col("delta") <= most)
     same, other, unknown = (F.col("where") == w for w in ("same", "other", "unknown"))

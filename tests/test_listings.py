@@ -100,6 +100,20 @@ def test_blocking_loses_no_pair(spark):
     assert got == want
 
 
+def test_score_is_the_better_of_overlap_and_ratio(spark):
+    names = ["Rock Nacht Konzert", "Rock Nacht Konzerte im grossen Saal", "Rock Nacht", "Rock Nacht Konzert und noch ein langer Abend"]
+    rows = [(f"s{i}", "2026-09-01", "20:00", n, "Paula", "musik", None) for i, n in enumerate(names)]
+    prepared = dedup.prepared(listings(spark, rows))
+    got = {(r["a"], r["b"]): r["score"] for r in dedup.accepted_pairs(prepared).collect()}
+    want = {}
+    for x, y in itertools.combinations(sorted((r.asDict() for r in prepared.collect()), key=lambda r: r["id"]), 2):
+        ratio = difflib.SequenceMatcher(None, x["slug"], y["slug"]).ratio()
+        over = len(set(x["tokens"]) & set(y["tokens"])) / min(len(x["tokens"]), len(y["tokens"]))
+        if over >= 0.6 or ratio >= 0.75:
+            want[x["id"], y["id"]] = pytest.approx(max(over, ratio))
+    assert got == want and got[0, 1] == pytest.approx(0.679, abs=1e-3)
+
+
 def test_merge_takes_fields_by_rank(spark):
     cols = "cluster long, id long, pos int, rank int, source string, date string, time string, title string, ort string, venue string, category string, url string, image_url string, description string, price_text string"
     rows = [
