@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -15,31 +16,40 @@ SHORT_TEXT = 80
 
 
 @cache
-def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters below U+2000 whose compatibility form starts in ASCII: one-to-one as a translate pair, the rest as pairs."""
-    src, dst, longer = [], [], []
-    for cp in range(0x80, 0x2000):
-        plain = unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode()
+def _folds(gap: str) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """Letters whose compatibility form has ASCII letters: one-to-one as a translate pair; longer ones below U+2000 as pairs, the others as text of a map. ``gap`` stands for what has no ASCII form in them."""
+    src, dst, longer, far = [], [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        whole = [c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)]
+        plain = "".join(c if c.isascii() else gap for c in whole) if any(c.isascii() for c in whole) else ""
         if len(plain) == 1:
             src.append(chr(cp))
             dst.append(plain)
-        elif plain:
+        elif plain and cp < 0x2000:
             longer.append((chr(cp), plain))
-    return "".join(src), "".join(dst), tuple(longer)
+        elif plain:
+            far.append(f"{chr(cp)}\x02{plain}")
+    return "".join(src), "".join(dst), tuple(longer), "\x01".join(far)
 
 
-def _folded(text: Column) -> Column:
+def _folded(text: Column, gap: str = "") -> Column:
     """Lower case, German letters written out, other accents taken off; what has no ASCII form stays."""
     t = F.lower(text)
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    src, dst, longer = _folds()
+    src, dst, longer, far = _folds(gap)
     t = F.translate(t, src, dst)
     pattern = "[" + "".join(a for a, _ in longer) + "]"
     many = t
     for a, b in longer:
         many = F.replace(many, F.lit(a), F.lit(b))
-    return F.when(t.rlike(pattern), many).otherwise(t)
+    t = F.when(t.rlike(pattern), many).otherwise(t)
+    known = F.str_to_map(F.lit(far), F.lit("\x01"), F.lit("\x02"))
+    letters = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    spelt = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.when(t.rlike(r"[\x{2000}-\x{10FFFF}]"), spelt).otherwise(t)
 
 
 def slugify(text: Column) -> Column:
@@ -50,7 +60,7 @@ def slugify(text: Column) -> Column:
 
 def run_slug(text: Column) -> Column:
     """Like :func:`slugify`, but a letter without an ASCII form separates words instead of vanishing."""
-    t = F.regexp_replace(_folded(text), r"\p{M}", "")
+    t = F.regexp_replace(_folded(text, "-"), r"\p{M}", "")
     return F.coalesce(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
 
 
