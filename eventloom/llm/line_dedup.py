@@ -5,75 +5,94 @@ similarity of their sets is at least the threshold (0.8). Lines stand in order o
 (doc_id, line number); every line with a matching line before it, kept or not, is
 removed. Built-in functions only.
 
-How: lines with the same text fold to their first place, so a frequent line costs one
-row a task. Each token becomes one long, rarity class first, hash after (rarity is
-counted over all documents in 65,536 hash buckets, so the table has a fixed size; any
-total order keeps the join exact). The rarest tokens that must meet (prefix filter) become
-postings. A first semi join keeps the lines that share a prefix token with another
-line and pass the length, positional and 128-bit parity filters, all of which are
-lossless. Only those lines carry their whole token sets into a second semi join, which
-verifies the similarity exactly and stops at the first earlier match, so a group of k
-near copies costs its postings, not its k*k pairs.
+How: each token becomes one long, rarity class first, hash after (rarity is counted over
+all documents in 65,536 hash buckets, so the table has a fixed size; any total order
+keeps the join exact). The rarest tokens that must meet (prefix filter) become postings;
+of lines with the same text only the first place's go on, folded before they are shuffled,
+so a frequent line costs one row a task. Texts are not shuffled. A frequent token (over
+1 in ``FREQUENT`` words) is no posting by itself: lines that share no rarer prefix token must
+share two in a prefix one longer, so pairs of frequent tokens are the postings there. A first semi
+join keeps the lines that share a posting with another line and pass the length, positional
+and 128-bit parity filters, all of which are lossless. Only those lines are read again, with
+their whole token sets, for a second semi join, which verifies the similarity exactly
+and stops at the first earlier match, so a group of k near copies costs its postings, not
+its k*k pairs. Which lines are read again is asked of a bit table of fixed size first; where
+it is crowded it only spares less.
 
 Nulls: a null text has no lines and stays null; a null ``doc_id`` stands before all
 others. Rows that repeat a ``doc_id`` share its places, so none of them is the later
 one. Lines without words are never removed. Extra columns are kept by
 :func:`dedup_lines` and ignored by :func:`removed_lines`; an empty table gives an empty
-result. Line texts are told apart by 64-bit hashes.
+result. Line texts are told apart by 96 bits of hashes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import cut
+
 BUCKETS = 1 << 16
+#: A token is frequent if its hash bucket holds more than one word in so many.
+FREQUENT = 4096
 #: Token sets up to this size keep their parity bits in one long.
 SHORT = 64
+#: Bits of the table of lines to read again.
+FILTER = 22
+_CLASS = 55
 
 
 def words(text: Column) -> Column:
     """Lower-case words split at white space; may hold empty strings."""
-    return F.split(F.lower(text), r"\s+", -1)
+    low = F.lower(text)
+    # Splitting at one character is several times as fast as at a pattern, and most texts have only blanks and line ends.
+    return F.when(F.rlike(text, F.lit(r"[\t\x0B\f\r]")), F.split(low, r"\s+", -1)).otherwise(
+        F.split(F.replace(low, F.lit("\n"), F.lit(" ")), " ", -1)
+    )
+
+
+def place(doc_id: Column, line_no: Column) -> Column:
+    """The order of lines as one number; rows without an id stand first."""
+    first = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return (first * F.lit(1 << 31).cast("decimal(10,0)") + line_no).cast("decimal(32,0)")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line, h) of every line that has a word; ``th`` tells texts under one doc_id apart."""
+    """(doc_id, th, line_no, line, h, g) of every line that has a word; ``th`` tells texts under one doc_id apart, (h, g) lines."""
     each = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
-    return each.where(F.rlike("line", F.lit(r"\S"))).withColumn("h", F.xxhash64("line"))
+    return each.where(F.rlike("line", F.lit(r"\S"))).withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """Rarity class of each hash bucket by its number of word occurrences in all texts, rarest lowest.
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """(rarity class of each hash bucket, moved to a token's high bits; lowest class of frequent tokens).
 
-    The classes (four to a doubling) are one array of ``BUCKETS`` small numbers, whatever the corpus, so they go into
-    the plan as a literal: lookups inside array functions need one.
+    The classes (four to a doubling of the word occurrences in all texts) are one array of ``BUCKETS`` numbers, whatever
+    the corpus, so they go into the plan as a literal: lookups inside array functions need one.
     """
     each = docs.select(F.explode(words(F.col("text"))).alias("w")).where("w <> ''")
-    counted = each.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    classes = [0] * BUCKETS
-    for r in counted.select("bucket", F.floor(4 * F.log2("n")).cast("int").alias("c")).collect():
-        classes[r["bucket"]] = r["c"]
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    counted = each.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    n = np.ones(BUCKETS)
+    n[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    classes = np.floor(4 * np.log2(n)).astype(int)
+    frequent = max(1, int(np.ceil(4 * np.log2(max(2.0, n.sum() / FREQUENT)))))
+    moved = ",".join(map(str, (classes.astype(np.int64) << _CLASS).tolist()))
+    return F.split(F.lit(moved), ",").cast("array<bigint>"), frequent
 
 
 def token_set(line: Column, rank: Column) -> Column:
     """The line's distinct tokens as longs, rarest first."""
-
-    def one(w: Column) -> Column:
-        h = F.xxhash64(w)
-        high = F.shiftleft(F.get(rank, _bucket(h)).cast("long"), 55)
-        return high.bitwiseOR(F.shiftrightunsigned(h, 9))
-
-    found = F.sort_array(F.array_distinct(F.transform(F.array_remove(words(line), ""), one)))
+    hashes = F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
+    found = F.transform(hashes, lambda h: F.get(rank, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 9)))
     # Never null, so no join infers a null check that would build every line's set once more.
-    return F.coalesce(found, F.array().cast("array<long>"))
+    return F.coalesce(F.sort_array(found), F.array().cast("array<long>"))
 
 
 def _share(threshold: float) -> Column:
@@ -104,17 +123,28 @@ def _differ() -> Column:
     return F.when((_n("x") > SHORT) & (_n("y") > SHORT), ones("s2") + both).otherwise(ones("s1"))
 
 
-def _postings(sets: DataFrame, threshold: float, *carried: str) -> DataFrame:
-    """A row for each prefix token: ``p`` packs 32 bits of the token, its place and the set's size; and the carried columns.
+def _postings(tokens: Column, threshold: float, frequent: int) -> Column:
+    """The set's postings: each packs 32 bits of a token or of a pair, the place of its (first) token and the set's size.
 
-    Cutting the token to 32 bits can only bring more candidates.
+    Cutting tokens to 32 bits can only bring more candidates.
     """
-    n = F.size("tokens")
-    prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    each = sets.select(*carried, "tokens", n.cast("long").alias("n"), F.posexplode(prefix).alias("i", "tok"))
-    low = F.least(F.col("i").cast("long"), F.lit(0x7FFF).cast("long")) * 65536 + F.least("n", F.lit(0xFFFF).cast("long"))
-    packed = F.shiftleft("tok", 32).bitwiseOR(low)
-    return each.select(packed.alias("p"), "i", "tokens", *carried)
+    n = F.size(tokens)
+    size = F.least(n, F.lit(0xFFFF)).cast("long")
+    k = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+    at = lambda i: F.least(i, F.lit(0x7FFF)).cast("long") * 65536 + size
+    pack = lambda t, i: F.shiftleft(t, 32).bitwiseOR(at(i))
+    is_frequent = lambda t: F.shiftrightunsigned(t, _CLASS) >= frequent
+    one_longer = F.slice(tokens, 1, k + 1)
+    plain = F.transform(F.slice(tokens, 1, k), pack)
+    # Tokens stand in order of class, so the frequent ones are the last of a prefix.
+    rare = F.slice(tokens, 1, F.size(F.filter(F.slice(tokens, 1, k), lambda t: ~is_frequent(t))))
+    first = F.size(F.filter(one_longer, lambda t: ~is_frequent(t)))
+    often = F.slice(tokens, first + 1, F.greatest(F.size(one_longer) - first, F.lit(0)))
+    pairs = F.flatten(
+        F.transform(often, lambda a, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda b: pack(F.xxhash64(a, b), first + i)))
+    )
+    mixed = F.concat(F.transform(rare, pack), pairs)
+    return F.when((n < 2) | ~is_frequent(F.element_at(one_longer, -1)), plain).otherwise(mixed)
 
 
 def _tok(side: str) -> Column:
@@ -130,60 +160,66 @@ def _i(side: str) -> Column:
 
 
 def _may_match(threshold: float) -> Column:
-    """Length and positional filters on the rows x and y of one shared prefix token; sets too large to pack pass."""
+    """Length, positional and parity filters on the rows x and y of one shared posting; sets too large to pack pass."""
+    total = _n("x") + _n("y")
     big = F.greatest(_n("x"), _n("y")) >= 0xFFFF
-    need = _share(threshold) * (_n("x") + _n("y")) - 1e-9
+    need = _share(threshold) * total - 1e-9
     length = F.least(_n("x"), _n("y")) >= F.lit(threshold) * F.greatest(_n("x"), _n("y")) - 1e-9
-    return big | (length & (F.least(_n("x") - _i("x"), _n("y") - _i("y")) >= need))
+    return big | (length & (F.least(_n("x") - _i("x"), _n("y") - _i("y")) >= need) & (_differ() <= total - 2 * need))
+
+
+def _wanted(lines: DataFrame) -> Column:
+    """Whether ``h`` may be among those of ``lines``: a bit for each value of its low ``FILTER`` bits."""
+    low = F.col("h").bitwiseAND(F.lit((1 << FILTER) - 1).cast("long"))
+    word, at = F.shiftright(low, 6).cast("int"), low.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    found = lines.groupBy(word.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER - 6), np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    table = F.split(F.lit(",".join(map(str, bits.tolist()))), ",").cast("array<bigint>")
+    return F.get(table, word).bitwiseAND(one) != 0
 
 
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place, hashes of those that match an earlier different line)."""
-    first = F.min(F.struct("doc_id", "line_no", "line")).alias("first")
-    distinct = lines_of(docs).groupBy("h").agg(first)
-    rank = rarity(docs)
-    sets = distinct.select("h", token_set(F.col("first.line"), rank).alias("tokens"))
+    """((h, g, first): distinct lines with their first place; hashes h of those that match an earlier different line)."""
+    lines = lines_of(docs).withColumn("place", place(F.col("doc_id"), F.col("line_no")))
+    rank, frequent = rarity(docs)
+    # Exploding keeps the optimizer from building the sets, or the postings, once for every use; the outer form adds no filter.
+    sets = lines.select("h", "g", "place", F.explode_outer(F.array(token_set(F.col("line"), rank))).alias("tokens"))
     s1, s2 = _sketch(F.col("tokens"))
-    light = _postings(sets.select("h", "tokens", s1.alias("s1"), s2.alias("s2")), threshold, "h", "s1", "s2").select("p", "h", "s1", "s2")
-    total = _n("x") + _n("y")
-    big = F.greatest(_n("x"), _n("y")) >= 0xFFFF
-    near = (
-        (_tok("x") == _tok("y"))
-        & (F.col("x.h") != F.col("y.h"))
-        & _may_match(threshold)
-        & (big | (_differ() <= total - 2 * (_share(threshold) * total - 1e-9)))
-    )
+    posted = sets.select("h", "g", "place", _postings(F.col("tokens"), threshold, frequent).alias("ps"), s1.alias("s1"), s2.alias("s2"))
+    folded = posted.groupBy("h", "g", "ps", "s1", "s2").agg(F.min("place").alias("first"))
+    light = folded.select("h", "s1", "s2", F.explode_outer("ps").alias("p"))  # in this order both sides share one exchange
+    near = (_tok("x") == _tok("y")) & (F.col("x.h") != F.col("y.h")) & _may_match(threshold)
     # Two matching lines meet at the first token they share, in rows that both pass; only such rows go on.
-    paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h").agg(F.collect_set("p").alias("ps"))
-    kept = distinct.join(paired, "h")
-    full = kept.select(
-        "h", "ps", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), token_set(F.col("first.line"), rank).alias("tokens")
-    )
-    heavy = full.select("h", "d", "l", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
+    paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h")
+    paired = cut(paired.agg(F.collect_set("p").alias("ps"), F.max("s1").alias("s1"), F.max("s2").alias("s2")))
+    again = lines.where(_wanted(paired)).groupBy("h").agg(F.min(F.struct("place", "line")).alias("r"))
+    full = again.join(paired, "h").select("h", "ps", "s1", "s2", F.col("r.place").alias("place"), F.explode_outer(F.array(token_set(F.col("r.line"), rank))).alias("tokens"))
+    heavy = full.select("h", "place", "s1", "s2", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
     # What they share stands from there on, so earlier tokens need not travel; a place too large to pack keeps them all.
-    place = F.shiftright("p", 16).bitwiseAND(F.lit(0x7FFF).cast("long")).cast("int")
-    place = F.when(place == 0x7FFF, 0).otherwise(place)
-    heavy = heavy.select("p", "h", "d", "l", "size", F.slice("tokens", place + 1, F.col("size")).alias("rest"))
-    earlier = F.struct(F.col("y.d"), F.col("y.l")) < F.struct(F.col("x.d"), F.col("x.l"))
+    start = F.shiftright("p", 16).bitwiseAND(F.lit(0x7FFF).cast("long")).cast("int")
+    start = F.when(start == 0x7FFF, 0).otherwise(start)
+    heavy = heavy.select("p", "h", "place", "s1", "s2", "size", F.slice("tokens", start + 1, F.col("size")).alias("rest"))
     shared = F.size(F.array_intersect(F.col("x.rest"), F.col("y.rest")))
     verified = (
         (_tok("x") == _tok("y"))
         & (F.col("x.h") != F.col("y.h"))
+        & (F.col("y.place") < F.col("x.place"))
         & _may_match(threshold)
-        & earlier
         & (shared >= _share(threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     )
-    return distinct, heavy.alias("x").join(heavy.alias("y"), verified, "left_semi").select("h").distinct()
+    hit = heavy.alias("x").join(heavy.alias("y"), verified, "left_semi").select("h").distinct()
+    return lines.groupBy("h", "g").agg(F.min("place").alias("first")), hit
 
 
 def removed_places(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, th, line_no) of every removed line."""
     distinct, matched = matched_lines(docs, threshold)
-    places = lines_of(docs).select("doc_id", "th", "line_no", "h")
-    where = distinct.select("h", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
-    where = where.join(matched.withColumn("m", F.lit(True)), "h", "left")
-    later = F.struct(F.col("doc_id"), F.col("line_no")) > F.struct(F.col("d"), F.col("l"))
-    return places.join(where, "h").where(F.coalesce("m", F.lit(False)) | later).select("doc_id", "th", "line_no")
+    places = lines_of(docs).select("doc_id", "th", "line_no", "h", "g")
+    where = distinct.join(matched.withColumn("m", F.lit(True)), "h", "left")
+    later = place(F.col("doc_id"), F.col("line_no")) > F.col("first")
+    return places.join(where, ["h", "g"]).where(F.coalesce("m", F.lit(False)) | later).select("doc_id", "th", "line_no")
 
 
 def _with_gone(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:

@@ -101,6 +101,31 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == {i: ",".join(map(str, want[i])) for i in range(len(texts))}
 
 
+def test_lines_of_frequent_words_meet_by_pairs(spark, monkeypatch):
+    """With every word frequent, pairs of them are the only postings; the result is that of all pairs all the same."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 1 << 40)
+    rng = np.random.default_rng(4)
+    lines = []
+    for i in range(120):
+        w = list(rng.choice([f"c{j}" for j in range(14)], int(rng.integers(1, 12)), replace=False))
+        lines.append("\t ".join(w) if i % 3 else " ".join(w).upper())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(None, "Ümlaut x"), (None, None)], "doc_id long, text string")
+    want = []
+    for i, line in enumerate(lines):
+        a = set(line.lower().split())
+        if any(len(a & set(x.lower().split())) >= 0.8 * len(a | set(x.lower().split())) - 1e-9 for x in lines[:i]):
+            want.append(i)
+    got = [r["doc_id"] for r in line_dedup.removed_lines(df).collect() if r["n_removed"]]
+    assert sorted(got) == want
+
+
+def test_line_dedup_long_text_and_null_ids(spark):
+    long = "\n".join([" ".join(f"w{i}x{j}" for j in range(40)) for i in range(500)] + ["x " * 30000])
+    df = spark.createDataFrame([(5, long), (None, long.split("\n")[7]), (6, long)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in line_dedup.removed_lines(df).collect()}
+    assert got[None] == (1, 0, "") and got[5] == (501, 1, "7") and got[6][1] == 501
+
+
 def test_simhash_components(spark, docs, none):
     rows = []
     rng = np.random.default_rng(5)
