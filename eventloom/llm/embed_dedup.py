@@ -3,15 +3,19 @@
 Exact copies are folded first (with their count). The remaining vectors are scaled
 to unit length and turned to their principal axes, largest variance first; the axes
 come from one sum of outer products, whose size is fixed by the dimension. Rows are
-dealt to blocks, and a task compares two blocks: it multiplies the leading axes,
-bounds what the other axes can still add by the product of the rows' suffix norms,
-and goes on only with the pairs that can still reach the threshold. Pairs that stay
-are decided by the cosine of the given vectors in double precision. A task emits a
-link count and one star edge a row, never the pairs.
+dealt to blocks by where they lie on the leading axes, and a task compares two blocks. Two
+blocks whose ranges on these axes and largest suffix norms keep every pair under the
+threshold are never brought together. In a tile, one product of the leading axes, with the
+suffix norm as one more axis, bounds each pair's cosine from above; only pairs that can
+still reach the threshold go on to the next axes. Pairs that stay are decided by the cosine of
+the given vectors in double precision. A task emits a link count and one star edge a
+row, never the pairs.
 
 Vectors that are null or empty, have null or non-finite components, or are zero link
-with nothing, nor do vectors of different length. Rows without ``vec_id`` keep their
-row; repeated rows count as copies. Empty tables give empty results.
+with nothing, nor do vectors of different length. Each vector is first scaled by a power of two,
+so very large and very small components neither overflow nor vanish. Rows without ``vec_id``
+keep their row; repeated rows count as copies. Extra columns are ignored. Empty tables give
+empty results. Each length of vector takes jobs of its own.
 """
 
 from __future__ import annotations
@@ -26,58 +30,72 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components, cut
 from .topk import usable
 
-STEPS = (8, 16, 32)
-_SLACK = 1e-9
+#: Leading axes multiplied before each test of the bound.
+STEPS = (24, 40)
+#: Axes by which rows are dealt, and the most of them that split blocks.
+RANGE_AXES, MAX_SPLITS = 8, 8
+#: Allowances for rounding: of bounds in single and in double precision.
+_SLACK32, _SLACK = 1e-5, 1e-9
 
 
 def _dense(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    """One vector a row, each scaled by a power of two to a largest component of 0.5 to 1."""
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
-def principal_axes(reps: DataFrame, dim: int) -> np.ndarray:
-    """(dim, dim) rotation, columns by falling variance of the unit vectors."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def principal_axes(reps: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dim, dim) rotation, columns by falling variance of the unit vectors; and the vectors' mean on these axes."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim))
+        total, first, n = np.zeros((dim, dim)), np.zeros(dim), 0
         for b in batches:
             if len(b):
-                x = _dense(b.column(0))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(_dense(b.column(0)))
                 total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["at", "v"])
+                first += x.sum(0)
+                n += len(x)
+        flat = np.concatenate([total.ravel(), first, [n]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+
+    got = reps.select("embedding").mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(dim * dim + dim + 1)
+    flat[got["at"].to_numpy()] = got["v"].to_numpy()
+    axes = np.linalg.eigh(flat[: dim * dim].reshape(dim, dim))[1][:, ::-1].copy()
+    return axes, (flat[dim * dim : -1] / max(1.0, flat[-1])) @ axes
+
 
-    rows = reps.select("embedding").mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    m = np.zeros(dim * dim)
-    for r in rows:
-        m[r["at"]] = r["v"]
-    return np.linalg.eigh(m.reshape(dim, dim))[1][:, ::-1].copy()
+def _suffix(r: np.ndarray, at: int) -> np.ndarray:
+    return np.sqrt((r[:, at:] ** 2).sum(1))
 
 
 def similar_in_tile(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into x, into y) with cosine at or over ``threshold``."""
-    xn, yn = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    xr, yr = (x / xn[:, None]) @ axes, (y / yn[:, None]) @ axes
+    xr, yr = _unit(x) @ axes, _unit(y) @ axes
     dim = x.shape[1]
     steps = [s for s in STEPS if s < dim] or [dim]
-    suffix = lambda r, s: np.sqrt((r[:, s:] ** 2).sum(1))
+    first = steps[0]
+    lead = lambda r: np.column_stack([r[:, :first], _suffix(r, first)]).astype(np.float32)
+    xb, yb = lead(xr), np.ascontiguousarray(lead(yr).T)
     found_i, found_j = [], []
-    for at in range(0, len(x), 512):
-        part = xr[at : at + 512]
-        first = steps[0]
-        dot = part[:, :first] @ yr[:, :first].T
-        dot += np.outer(suffix(part, first), suffix(yr, first))
-        i, j = np.nonzero(dot >= threshold - _SLACK)
-        known = np.einsum("ij,ij->i", part[i, :first], yr[j, :first]) if len(i) < dot.size // 4 else (part[:, :first] @ yr[:, :first].T)[i, j]
+    for at in range(0, len(x), 256):
+        i, j = np.divmod(np.flatnonzero(xb[at : at + 256] @ yb >= np.float32(threshold - _SLACK32)), len(y))
+        i += at
+        known = _pairwise(xr[:, :first], yr[:, :first], i, j)
         for a, b in zip(steps, [*steps[1:], dim]):
-            if a >= b or not len(i):
-                continue
-            known = known + _pairwise(part[:, a:b], yr[:, a:b], i, j)
-            keep = known + suffix(part, b)[i] * suffix(yr, b)[j] >= threshold - _SLACK
+            keep = known + _suffix(xr, a)[i] * _suffix(yr, a)[j] >= threshold - _SLACK if len(i) else np.zeros(0, bool)
             i, j, known = i[keep], j[keep], known[keep]
-        found_i.append(i + at)
+            if a < b and len(i):
+                known = known + _pairwise(xr[:, a:b], yr[:, a:b], i, j)
+        found_i.append(i)
         found_j.append(j)
     i, j = np.concatenate(found_i), np.concatenate(found_j)
-    keep = _pairwise(x, y, i, j) / (xn[i] * yn[j]) >= threshold
+    norm = lambda v: np.linalg.norm(v, axis=1)
+    keep = _pairwise(x, y, i, j) / (norm(x)[i] * norm(y)[j]) >= threshold
     return i[keep], j[keep]
 
 
@@ -103,7 +121,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.9, block: int = 4096) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.9, block: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors``."""
     fit = usable(F.col("embedding")) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fit, F.col("embedding")).alias("embedding"))
@@ -117,7 +135,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, block: int
     links = edges = None
     for dim, n in sizes.items():
         one = reps.where(F.size("embedding") == dim)
-        out = cut(_tiles(one, principal_axes(one, dim), n, threshold, block))
+        out = cut(_tiles(one, *principal_axes(one, dim), n, threshold, block))
         got_links = out.where("links > 0").select("rep", "links")
         got_edges = out.where("root <> rep").select("rep", "root")
         links = got_links if links is None else links.unionAll(got_links)
@@ -131,9 +149,11 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, block: int
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     full = rooted.join(least, "root").join(total, "rep", "left")
     full = full.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
-    joined = rows.join(full, "embedding", "left")
+    joined = rows.where("embedding is not null").join(full, "embedding", "left").select("vec_id", "links", "component_id")
+    # Rows that take no part need no join, so they are no common key.
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return joined.select(
+    return joined.unionAll(alone).select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
@@ -141,16 +161,56 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, block: int
     )
 
 
-def _tiles(reps: DataFrame, axes: np.ndarray, n: int, threshold: float, block: int) -> DataFrame:
+def _ranged(reps: DataFrame, axes: np.ndarray, mean: np.ndarray, splits: int) -> DataFrame:
+    """``reps`` with ``key`` (which side of the mean on each of the first ``splits`` axes), leading coordinates and suffix norm."""
+    n_axes = min(RANGE_AXES, len(mean))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                r = _unit(_dense(b.column(2))) @ axes
+                key = ((r[:, :splits] >= mean[:splits]) << np.arange(splits)).sum(1) if splits else np.zeros(len(r), np.int64)
+                c = pa.FixedSizeListArray.from_arrays(pa.array(r[:, :n_axes].ravel()), n_axes).cast(pa.list_(pa.float64()))
+                cols = [*b.columns, pa.array(key.astype(np.int32)), c, pa.array(_suffix(r, n_axes))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "embedding", "key", "c", "tail"])
+
+    kind = reps.schema["embedding"].dataType.simpleString()
+    return reps.select("rep", "n", "embedding").mapInArrow(place, f"rep long, n long, embedding {kind}, key int, c array<double>, tail double")
+
+
+def partners(low: np.ndarray, high: np.ndarray, tail: np.ndarray, threshold: float) -> np.ndarray:
+    """Which blocks may hold similar rows: the largest product their ranges (rows: blocks) and suffix norms allow reaches the threshold."""
+    ends = [a[:, None, :] * b[None, :, :] for a in (low, high) for b in (low, high)]
+    return np.maximum.reduce(ends).sum(2) + tail[:, None] * tail[None, :] >= threshold - _SLACK
+
+
+def _tiles(reps: DataFrame, axes: np.ndarray, mean: np.ndarray, n: int, threshold: float, block: int) -> DataFrame:
     """For each tile and row: links to the tile's other rows (copies counted) and the row's root there."""
-    blocks = max(1, -(-n // block))
-    b = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    dealt = reps.select("rep", "n", "embedding", b.alias("b")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    )
-    dealt = dealt.select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "n", "embedding")
+    splits = min(MAX_SPLITS, len(mean), max(0, int(np.ceil(np.log2(n / block)))))
+    placed = _ranged(reps, axes, mean, splits)
+    k = min(RANGE_AXES, len(mean))
+    edges = [f(F.get("c", F.lit(i))).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(k)]
+    stats = placed.groupBy("key").agg(F.count("*").alias("rows"), F.max("tail").alias("tail"), *edges).toArrow()
+    keys = stats["key"].to_numpy()
+    col = lambda name: stats[name].to_numpy()
+    low, high = (np.column_stack([col(f"{f}{i}") for i in range(k)]) for f in ("min", "max"))
+    near = partners(low, high, col("tail"), threshold)
+    chunks = np.zeros(1 << splits, int)
+    chunks[keys] = -(-col("rows") // block)
+    others = [""] * (1 << splits)
+    for row, key in zip(near, keys):
+        others[key] = ",".join(map(str, keys[row]))
+    in_key = F.array(*map(F.lit, chunks.tolist()))
+    # A unit is a bounded part of a block; its number is the block's and its own.
+    unit = lambda key, part: key.cast("long") * (1 << 32) + part
+    own = unit(F.col("key"), F.pmod(F.xxhash64("rep"), F.get(in_key, F.col("key"))))
+    dealt = placed.select("rep", "n", "embedding", own.alias("u"), F.explode(F.split(F.get(F.array(*map(F.lit, others)), F.col("key")), ",").cast("array<int>")).alias("ok"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.get(in_key, F.col("ok")) - 1)).alias("part"))
+    other = unit(F.col("ok"), F.col("part"))
+    dealt = dealt.select(F.least("u", other).alias("lo"), F.greatest("u", other).alias("hi"), F.col("u").alias("b"), "rep", "n", "embedding")
     # One partition a tile is asked for, so that every core has work.
-    dealt = dealt.repartition(max(1, blocks * (blocks + 1) // 2), "lo", "hi")
+    tiles = (int((near * np.outer(chunks[keys], chunks[keys])).sum()) + int(chunks.sum())) // 2
+    dealt = dealt.repartition(max(1, min(tiles, 100_000)), "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
