@@ -6,8 +6,12 @@ query; each round contracts every piece's leftmost pair of minimum rank, until n
 pair can merge. Decoding joins (text, position, id) rows with the vocabulary and
 concatenates bytes in position order. Spark only deals texts out; nothing shuffles.
 
-A piece over ``LONG`` bytes (a run without a break) is merged with a heap, because a
-round of the query for each merge would cost the square of its length.
+The rounds of a query all stay in memory, so pieces are merged in batches of bounded size. Pieces
+over ``LONG`` bytes (runs without a break) take a recursive query that keeps only the present
+state of each position. One of its rounds contracts all of a piece's minimum-rank pairs, leftmost
+first where they overlap; that is what one pair a round would come to, as no token that may
+be made this way can be merged again at a lower rank (ranks for which the vocabulary does not
+grant that are contracted one at a time).
 
 Nulls: a null text counts as empty (no ids, digests of nothing); a null ``doc_id``
 keeps its row. Repeated rows each give a row; extra columns are ignored; an empty
@@ -18,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -30,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 400
+#: Bound on the rows that the rounds of one query may leave: the sum of the squares of its pieces' lengths.
+ROUNDS = 20_000_000
 #: Pieces remembered by a worker before it starts anew, and characters encoded at once.
 MEMO, CHARS = 400_000, 1_500_000
 
@@ -50,10 +55,26 @@ with recursive t as (
 last as (select k // 1024 as w, max(it) as it from t group by 1)
 select t.k // 1024 as w, t.id from t join last on t.k // 1024 = last.w and t.it = last.it order by t.k
 """
+_ENCODE_LONG = """
+with recursive t(k, id) using key (k) as (
+  select k, id from start
+  union
+  (with n as (select k, id, lead(k) over (order by k) as nk, lead(id) over (order by k) as nid from recurring.t where id >= 0),
+  c as (select n.k, n.nk, n.k >> 32 as w, m.id as new from n join merges m on m.l = n.id and m.r = n.nid where n.nk >> 32 = n.k >> 32),
+  least as (select w, min(new) as new from c group by w),
+  o as (select c.*, lag(nk) over (order by k) as before from c join least using (w, new)),
+  runs as (select *, sum(case when before = k then 0 else 1 end) over (order by k) as run from o),
+  picked as (select *, row_number() over (partition by run order by k) as i, row_number() over (partition by w order by k) as nth from runs),
+  go as (select k, nk, new from picked where nth = 1 or (i % 2 = 1 and new not in (select id from alone)))
+  select k, new from go union all select nk, -1 from go))
+select k >> 32 as w, id from t where id >= 0 order by k
+"""
+#: One thread aggregates the sorted rows in their order.
 _DECODE = """
-select x.d, unhex(string_agg(v.h, '' order by x.p)) as bytes
-from x join vocab v on v.id = x.id group by x.d order by x.d
+select d, string_agg(c, '') as chars from (select x.d, v.c from x join vocab v on v.id = x.id order by x.p) group by d
 """
+#: Bytes travel as characters of the same number; only 0 takes another.
+_ZERO = "\u0100"
 
 
 class Coder:
@@ -63,13 +84,15 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         r = self.ranks
         rows = [(r[t[:i]], r[t[i:]], n) for t, n in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r]
         merges = pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("l", "r", "id"), zip(*rows))})
-        vocab = pa.table({"id": pa.array(r.values(), pa.int32()), "h": pa.array([t.hex() for t in r])})
+        vocab = pa.table({"id": pa.array(r.values(), pa.int32()), "c": pa.array([t.decode("latin-1").replace("\0", _ZERO) for t in r])})
         self._load("merges", merges)
         self._load("vocab", vocab)
+        alone = sorted({part for *parts, n in rows for part in parts if n < part})
+        self._load("alone", pa.table({"id": pa.array(alone, pa.int32())}))
         self.byte = np.array([r[bytes([i])] for i in range(256)], np.int32)
         self._reset()
 
@@ -83,41 +106,33 @@ class Coder:
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
-    def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in a row, count for each piece) by the recursive query."""
-        n = np.array([len(b) for b in pieces], np.int64)
-        word = np.repeat(np.arange(len(pieces), dtype=np.int64), n)
+    def _merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece by the recursive queries, a batch of bounded work at a time."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        for long in (False, True):
+            held, work = [], 0
+            for i in [i for i, b in enumerate(pieces) if (len(b) > LONG) == long]:
+                work += len(pieces[i]) if long else len(pieces[i]) ** 2
+                held.append(i)
+                if work > ROUNDS:
+                    self._merge_some(pieces, held, out, long)
+                    held, work = [], 0
+            if held:
+                self._merge_some(pieces, held, out, long)
+        return out
+
+    def _merge_some(self, pieces: list[bytes], which: list[int], out: list[np.ndarray], long: bool) -> None:
+        n = np.array([len(pieces[i]) for i in which], np.int64)
+        word = np.repeat(np.arange(len(which), dtype=np.int64), n)
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = pa.table({"k": word * 1024 + pos, "id": self.byte[np.frombuffer(b"".join(pieces), np.uint8)]})
-        self.db.register("start", start)
-        got = self.db.sql(_ENCODE).fetchnumpy()
+        raw = np.frombuffer(b"".join(pieces[i] for i in which), np.uint8)
+        self.db.register("start", pa.table({"k": (word << (32 if long else 10)) + pos, "id": self.byte[raw]}))
+        got = self.db.sql(_ENCODE_LONG if long else _ENCODE).fetchnumpy()
         self.db.unregister("start")
-        return np.asarray(got["id"], np.int32), np.bincount(np.asarray(got["w"], np.int64), minlength=len(pieces))
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """One long piece: a heap of (rank, position) over a linked list."""
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(part) and (rank := self.ranks.get(both := part[i] + part[j])) is not None:
-                heapq.heappush(heap, (rank, i, both))
-
-        for i in range(len(part)):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if part[i] is None or (j := after[i]) >= len(part) or part[i] + part[j] != both:
-                continue
-            part[i], part[j], after[i] = both, None, after[j]
-            if after[j] < len(part):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [self.ranks[p] for p in part if p is not None]
+        counts = np.bincount(np.asarray(got["w"], np.int64), minlength=len(which))
+        ids = np.asarray(got["id"], np.int32)
+        for i, a, b in zip(which, np.cumsum(counts) - counts, np.cumsum(counts)):
+            out[i] = ids[a:b]
 
     def _learn(self, words: Iterable[str]) -> None:
         """Encode pieces not yet in the memo."""
@@ -125,21 +140,14 @@ class Coder:
         if not new:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        whole = [self.ranks.get(b) for b in raw]
-        todo = [i for i, (b, r) in enumerate(zip(raw, whole)) if r is None and len(b) <= LONG]
-        count = np.ones(len(new), np.int64)
-        slots: list[np.ndarray | list[int] | None] = [None if r is None else [r] for r in whole]
-        for i, (b, r) in enumerate(zip(raw, whole)):
-            if r is None and len(b) > LONG:
-                slots[i] = self._merge_long(b)
-        if todo:
-            flat, n = self._merge([raw[i] for i in todo])
-            for i, part in zip(todo, np.split(flat, np.cumsum(n)[:-1])):
-                slots[i] = part
+        slots = [None if (r := self.ranks.get(b)) is None else np.array([r], np.int32) for b in raw]
+        todo = [i for i, s in enumerate(slots) if s is None]
+        for i, part in zip(todo, self._merge([raw[i] for i in todo])):
+            slots[i] = part
         count = np.array([len(s) for s in slots], np.int64)
         at = len(self.memo)
         self.memo.update(zip(new, range(at, at + len(new))))
-        self.ids = np.concatenate([self.ids, *[np.asarray(s, np.int32) for s in slots]])
+        self.ids = np.concatenate([self.ids, *slots])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(count)])
 
     def _codes(self, text: str) -> Iterator[list[str]]:
@@ -178,11 +186,11 @@ class Coder:
     def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[bytes]:
         """Bytes of each text from its ids, by ordered aggregation."""
         pos = np.arange(len(ids), dtype=np.int64)
-        x = pa.table({"d": np.repeat(np.arange(len(per_text)), per_text), "p": pos, "id": ids})
+        x = pa.table({"d": np.repeat(np.arange(len(per_text), dtype=np.int32), per_text), "p": pos, "id": ids})
         self.db.register("x", x)
         out = [b""] * len(per_text)
-        for d, b in self.db.sql(_DECODE).fetchall():
-            out[d] = b
+        for d, chars in self.db.sql(_DECODE).fetchall():
+            out[d] = (chars.replace(_ZERO, "\0") if _ZERO in chars else chars).encode("latin-1")
         self.db.unregister("x")
         return out
 
