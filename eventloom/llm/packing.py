@@ -6,8 +6,12 @@ it. Each tier is packed from its own documents, largest first; the gap of a wind
 filled from the shorter tiers, best fit first, and what is left of the gap by cutting
 the next short document. Windows are therefore full, and a full window of any tier has
 a power of two of ids, so it needs no padding. At the end of a partition what is
-still queued goes to windows of falling powers of two. Full windows of a tier are dealt
-to step groups of equal token totals.
+still queued goes to windows of falling powers of two.
+
+Windows of all tiers are dealt to step groups of equal token totals: a window goes to the first
+group with room for it, and as sizes are powers of two that divide ``STEP_TOKENS``, groups
+fill up exactly. Only the groups still open at the end of a partition hold less, and together with
+no more open ones than tiers there are.
 
 Documents never leave their partition, so nothing shuffles, and a task holds only the
 short documents in its queues. Sequence ids are the partition's number times 2**40 plus
@@ -38,12 +42,17 @@ SCHEMA = (
     "tier int, step_group long"
 )
 #: Chunks remembered by a worker before it starts anew; characters encoded at once; ids queued before short tiers are packed.
-MEMO, CHARS, QUEUED = 600_000, 1_000_000, 400_000
+MEMO, CHARS, QUEUED = 1_000_000, 1_000_000, 400_000
+#: New words encoded in one string.
+JOINED = 64
 STEP_TOKENS = 65_536
 #: White space that Python splits at but the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: A mark that another mark precedes, and so belongs to its piece.
-_JOINED = re.compile(r"(?:[^\w\s]|_)[,.]\s")
+_JOINED = re.compile(r"[,.](?=\s)(?<=[^\w\s][,.]|_[,.])")
+#: The pieces of a chunk of plain characters, by the tokenizer's own rule.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = re.compile(r"[!-~]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
@@ -65,6 +74,9 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         self.tok = Tokenizer.from_file(path)
+        tokens = self.tok.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -86,6 +98,33 @@ class ChunkEncoder:
                 text = text.replace(mark + " ", f" {mark} ").replace(mark + "\n", f" {mark} ")
         return text.split()
 
+    def _words(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Ids of words of letters, many in one string: only a word's last token has an end, so ends part them."""
+        for at in range(0, len(words), JOINED * 256):
+            some = words[at : at + JOINED * 256]
+            groups = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+                if len(cuts) == len(group) + 1 and cuts[-1] == len(ids):
+                    yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
+                else:
+                    yield from self._alone(group)
+
+    def _alone(self, chunks: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, np.uint32)
+
+    def _new(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks not seen before, from their pieces where those may be encoded apart."""
+        pieces = {c: _PIECES.findall(c.lower()) for c in chunks if not c.isalpha() and _PLAIN.fullmatch(c) and "<|" not in c}
+        single = dict.fromkeys(c for c in chunks if c not in pieces) | dict.fromkeys(x for p in pieces.values() for x in p)
+        words = list(filter(str.isalpha, single))
+        rest = [x for x in single if not x.isalpha()]
+        ids = dict(zip(words, self._words(words))) | dict(zip(rest, self._alone(rest)))
+        ids |= {c: np.concatenate([ids[x] for x in p]) for c, p in pieces.items()}
+        return [ids[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > MEMO:
             self._reset()
@@ -93,9 +132,9 @@ class ChunkEncoder:
         total = sum(map(len, chunks))
         code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(chunks)), np.int64, total)
         if new := self.codes.new:
-            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+            got = self._new(new)
             n = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, n.sum())])
+            self.ids = np.concatenate([self.ids, *got])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
             self.codes.new = []
         lo, n = self.starts[code], self.starts[code + 1] - self.starts[code]
@@ -128,7 +167,8 @@ class Packer:
         self.queued = 0
         self.sequence = partition << 40
         self.partition = partition
-        self.made: dict[int, int] = {}
+        self.room: dict[int, int] = {}
+        self.groups = 0
         self.order = 0
         self.out: list[tuple] = []
 
@@ -187,10 +227,19 @@ class Packer:
             size = min(self.tiers[0], 1 << (self.queued.bit_length() - 1))
             self._emit(self._window(size, self.tiers), size)
 
+    def _group(self, size: int) -> int:
+        """The first step group with room for a window."""
+        number = next((g for g, room in self.room.items() if room >= size), None)
+        if number is None:
+            number, self.groups = self.groups, self.groups + 1
+            self.room[number] = STEP_TOKENS
+        self.room[number] -= size
+        if not self.room[number]:
+            del self.room[number]
+        return number
+
     def _emit(self, pieces: list[tuple], tier: int) -> None:
-        number = self.made[tier] = self.made.get(tier, -1) + 1
-        # A step group of a tier holds STEP_TOKENS ids, whatever the tier.
-        group = (self.partition << 40) + (number // max(1, STEP_TOKENS // tier)) * 64 + tier.bit_length()
+        group = (self.partition << 40) + self._group(tier)
         offset = 0
         for n, _, doc, start, total, ids in pieces:
             crc = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
