@@ -72,7 +72,7 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """(rarity class of each hash bucket, moved to a token's high bits; lowest class of frequent tokens).
+    """(rarity class of each hash bucket; lowest class of frequent tokens).
 
     The classes (four to a doubling of the word occurrences in all texts) are one array of ``BUCKETS`` numbers, whatever
     the corpus, so they go into the plan as a literal: lookups inside array functions need one.
@@ -83,14 +83,13 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
     n[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     classes = np.floor(4 * np.log2(n)).astype(int)
     frequent = max(1, int(np.ceil(4 * np.log2(max(2.0, n.sum() / FREQUENT)))))
-    moved = ",".join(map(str, (classes.astype(np.int64) << _CLASS).tolist()))
-    return F.split(F.lit(moved), ",").cast("array<bigint>"), frequent
+    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<int>"), frequent
 
 
 def token_set(line: Column, rank: Column) -> Column:
     """The line's distinct tokens as longs, rarest first."""
     hashes = F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
-    found = F.transform(hashes, lambda h: F.get(rank, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 9)))
+    found = F.transform(hashes, lambda h: F.shiftleft(F.get(rank, _bucket(h)).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 9)))
     # Never null, so no join infers a null check that would build every line's set once more.
     return F.coalesce(F.sort_array(found), F.array().cast("array<long>"))
 
@@ -168,16 +167,13 @@ def _may_match(threshold: float) -> Column:
     return big | (length & (F.least(_n("x") - _i("x"), _n("y") - _i("y")) >= need) & (_differ() <= total - 2 * need))
 
 
-def _wanted(lines: DataFrame) -> Column:
-    """Whether ``h`` may be among those of ``lines``: a bit for each value of its low ``FILTER`` bits."""
+def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``lines`` whose ``h`` may be in ``wanted``: one bit for each value of its low ``FILTER`` bits, in at most 65,536 rows."""
     low = F.col("h").bitwiseAND(F.lit((1 << FILTER) - 1).cast("long"))
     word, at = F.shiftright(low, 6).cast("int"), low.bitwiseAND(F.lit(63).cast("long")).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), at)
-    found = lines.groupBy(word.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER - 6), np.int64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
-    table = F.split(F.lit(",".join(map(str, bits.tolist()))), ",").cast("array<bigint>")
-    return F.get(table, word).bitwiseAND(one) != 0
+    table = wanted.groupBy(word.alias("at_")).agg(F.bit_or(one).alias("bits_"))
+    return lines.join(F.broadcast(table), (word == F.col("at_")) & (F.col("bits_").bitwiseAND(one) != 0), "left_semi")
 
 
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +190,7 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     # Two matching lines meet at the first token they share, in rows that both pass; only such rows go on.
     paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h")
     paired = cut(paired.agg(F.collect_set("p").alias("ps"), F.max("s1").alias("s1"), F.max("s2").alias("s2")))
-    again = lines.where(_wanted(paired)).groupBy("h").agg(F.min(F.struct("place", "line")).alias("r"))
+    again = _maybe_in(lines, paired).groupBy("h").agg(F.min(F.struct("place", "line")).alias("r"))
     full = again.join(paired, "h").select("h", "ps", "s1", "s2", F.col("r.place").alias("place"), F.explode_outer(F.array(token_set(F.col("r.line"), rank))).alias("tokens"))
     heavy = full.select("h", "place", "s1", "s2", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
     # What they share stands from there on, so earlier tokens need not travel; a place too large to pack keeps them all.
