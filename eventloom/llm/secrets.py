@@ -1,14 +1,16 @@
 """Secret scanning over a trigram inverted index.
 
-Each rule is a regular expression. From it a Boolean query over trigrams is
+Each rule is a regular expression. From its parse tree a Boolean query over trigrams is
 derived: an OR of ANDs of the trigrams that every match must hold. The index
 lists, for each of those trigrams, the documents that hold it; the postings of a
-branch are intersected by counting, and only documents that satisfy a rule's
+branch are intersected as bits, and only documents that satisfy a rule's
 query are verified with its expression. A rule without a mandatory trigram (a
-bare character class) scans every text. Built-in functions only.
+bare character class), or whose expression the parser does not know, scans every text. Any
+number of rules will do. Built-in functions only.
 
 Nulls: a null text counts as empty and has no span; a null ``doc_id`` keeps its
-row and its spans. Repeated rows each give a row. Extra columns are ignored by
+row and its spans. Documents are known by their id and a hash of their text, so rows without an id
+are no common key. Repeated rows each give a row. Extra columns are ignored by
 :func:`scan_secrets`, whatever their names, and kept by :func:`redact_secrets`.
 An empty table gives an empty result.
 """
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as node
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,82 +52,92 @@ MORE = (
 )
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """Expand optional characters, short classes and one level of groups to strings; ``\\0`` stands for anything else."""
+#: More ways than this to match a part of an expression count as unknown.
+MOST_WAYS = 256
+#: Stands for text that is not known; no trigram crosses it.
+_GAP = "\0"
+
+
+def _ways(tree: object) -> list[str]:
+    """The strings that match a parse tree, as far as they are known."""
     out = [""]
-    i, text = 0, re.sub(r"^\(\?i\)", "", pattern)
-
-    def unit(i: int) -> tuple[list[str], int]:
-        if text[i] == "(":
-            depth, j = 0, i
-            while True:
-                depth += (text[j] == "(") - (text[j] == ")")
-                if not depth:
-                    break
-                j += 1 + (text[j] == "\\")
-            parts = [x for branch in text[i + 1 : j].split("|") for x in _alternatives(branch)]
-            return parts, j + 1
-        if text[i] == "[":
-            j = text.index("]", i + 2)
-            inner = text[i + 1 : j]
-            few = len(inner) <= 5 and not re.search(r"[\\^-]", inner)
-            return (list(inner) if few else ["\0"]), j + 1
-        if text[i] == "\\":
-            if text[i + 1] == "x":
-                return [chr(int(text[i + 2 : i + 4], 16))], i + 4
-            return ["\0" if text[i + 1].isalnum() else text[i + 1]], i + 2
-        return ["\0" if text[i] == "." else text[i]], i + 1
-
-    while i < len(text):
-        got, i = unit(i)
-        if i < len(text) and text[i] == "?":
-            got, i = [*got, ""], i + 1
-        elif i < len(text) and text[i] == "*":
-            got, i = ["\0"], i + 1
-        elif i < len(text) and text[i] == "+":
-            got, i = [x + "\0" for x in got], i + 1
-        elif i < len(text) and text[i] == "{":
-            got, i = ["\0"], text.index("}", i) + 1
-        out = [a + b for a in out for b in got]
+    for kind, what in tree:
+        part = _part(kind, what)
+        if len(out) * len(part) > MOST_WAYS:
+            part = [_GAP]
+        out = list(dict.fromkeys(a + b for a in out for b in part))
     return out
 
 
+def _part(kind: object, what: object) -> list[str]:
+    if kind is node.LITERAL:
+        return [chr(what).lower() if what < 128 else _GAP]
+    if kind is node.IN and len(what) <= 5 and all(k is node.LITERAL for k, _ in what):
+        return [x for k, c in what for x in _part(k, c)]
+    if kind is node.SUBPATTERN:
+        return _ways(what[3])
+    if kind is node.ATOMIC_GROUP:
+        return _ways(what)
+    if kind is node.BRANCH:
+        return [x for branch in what[1] for x in _ways(branch)]
+    if kind in (node.MAX_REPEAT, node.MIN_REPEAT, node.POSSESSIVE_REPEAT):
+        low, high, inner = what
+        once = _ways(inner)
+        if (low, high) == (0, 1):
+            return [*once, ""]
+        if low == 0:
+            return [_GAP]
+        return once if high == 1 else [x + _GAP for x in once]
+    if kind in (node.AT, node.ASSERT, node.ASSERT_NOT):
+        return [""]
+    return [_GAP]
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """OR of ANDs of lower-case trigrams that a text must hold to match; empty if some way to match needs none."""
-    branches = set()
-    for way in _alternatives(pattern):
-        runs = [x.lower() for x in way.split("\0")]
-        branches.add(frozenset(r[i : i + 3] for r in runs for i in range(len(r) - 2)))
+    try:
+        ways = _ways(_parser.parse(pattern))
+    except (re.error, OverflowError, RecursionError):
+        return []
+    branches = {frozenset(r[i : i + 3] for r in way.split(_GAP) for i in range(len(r) - 2)) for way in ways}
     if not all(branches):
         return []
     return sorted((b for b in branches if not any(o < b for o in branches)), key=sorted)
 
 
+#: Trigrams whose postings share one long.
+_WORD = 62
+
+
 def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Inverted index of the wanted trigrams: (trigram, doc_id), each pair once a row of ``docs``."""
+    """Inverted index of the wanted trigrams: (trigram, doc_id, th), each once a row of ``docs``; ``th`` is the text's hash."""
     folded = F.lower(F.coalesce("text", F.lit("")))
     held = F.filter(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): which rules' trigram queries each document satisfies; one row a doc_id that has any."""
+    """(doc_id, th, rules): which rules' trigram queries each document satisfies; one row a document that has any."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    branches = [(kind, branch) for kind, ors in queries.items() for branch in ors]
-    wanted = sorted({t for _, branch in branches for t in branch})
+    wanted = sorted({t for ors in queries.values() for branch in ors for t in branch})
     if not wanted:
-        return docs.sparkSession.createDataFrame([], "doc_id long, rules array<string>")
+        return docs.select("doc_id", F.xxhash64("text").alias("th"), F.array().cast("array<string>").alias("rules")).where("false")
     # Intersection of postings: one bit a trigram, or-ed for each document, then tested branch by branch.
-    bit = {t: i for i, t in enumerate(wanted)}
-    if len(wanted) > 62:
-        raise ValueError("more than 62 mandatory trigrams: split the rules over several scans")
-    number = F.create_map(*[F.lit(x) for t in wanted for x in (t, 1 << bit[t])])
-    postings = trigram_postings(docs, wanted).select("doc_id", F.element_at(number, F.col("trigram")).cast("long").alias("bits"))
-    lists = postings.groupBy("doc_id").agg(F.bit_or("bits").alias("bits"))
+    at = {t: divmod(i, _WORD) for i, t in enumerate(wanted)}
+    n_words = -(-len(wanted) // _WORD)
+
+    def bits(word: int) -> Column:
+        number = F.create_map(*[F.lit(x) for t in wanted if at[t][0] == word for x in (t, 1 << at[t][1])])
+        return F.coalesce(F.bit_or(F.element_at(number, F.col("trigram")).cast("long")), F.lit(0).cast("long")).alias(f"bits{word}")
+
+    lists = trigram_postings(docs, wanted).groupBy("doc_id", "th").agg(*map(bits, range(n_words)))
 
     def holds(branch: frozenset[str]) -> Column:
-        need = sum(1 << bit[t] for t in branch)
-        return F.col("bits").bitwiseAND(F.lit(need).cast("long")) == F.lit(need).cast("long")
+        out = F.lit(True)
+        for word in sorted({at[t][0] for t in branch}):
+            need = F.lit(sum(1 << at[t][1] for t in branch if at[t][0] == word)).cast("long")
+            out = out & (F.col(f"bits{word}").bitwiseAND(need) == need)
+        return out
 
     names = []
     for kind, ors in queries.items():
@@ -133,7 +147,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                 test = test | holds(branch)
             names.append(F.when(test, F.lit(kind)))
     hit = F.filter(F.array(*names), lambda x: x.isNotNull())
-    return lists.select("doc_id", hit.alias("rules")).where(F.size("rules") > 0)
+    return lists.select("doc_id", "th", hit.alias("rules")).where(F.size("rules") > 0)
 
 
 def _spans(rules: tuple[Rule, ...], text: Column, flags: Column) -> Column:
@@ -156,10 +170,11 @@ def _spans(rules: tuple[Rule, ...], text: Column, flags: Column) -> Column:
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...], column: str) -> DataFrame:
     """``docs`` with the array of spans. The candidate join is null-safe, so rows without an id are verified too."""
     names = docs.columns
-    key = "doc_id"
-    rowed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(key).alias("key_"))
-    picked = candidates(docs.select(key, "text"), rules).select(F.col(key).alias("hit_"), F.col("rules").alias("rules_"))
-    both = rowed.join(picked, F.col("key_").eqNullSafe(F.col("hit_")), "left")
+    rowed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col("doc_id").alias("key_"), F.xxhash64("text").alias("th_"))
+    picked = candidates(docs.select("doc_id", "text"), rules)
+    picked = picked.select(F.col("doc_id").alias("hit_"), F.col("th").alias("hit_th_"), F.col("rules").alias("rules_"))
+    same = F.col("key_").eqNullSafe(F.col("hit_")) & (F.col("th_") == F.col("hit_th_"))
+    both = rowed.join(picked, same, "left")
     text = F.coalesce(F.col("row_.text"), F.lit(""))
     return both.select("row_", _spans(rules, text, F.coalesce("rules_", F.array().cast("array<string>"))).alias(column))
 
