@@ -101,11 +101,16 @@ def _digest_sql(rules: list[tuple[str, str, str]], base: int, extra: str = "", m
 
 
 def _secret_sql() -> str:
-    rules = []
-    for r in (*secrets.BASE, *secrets.MORE):
-        what = "g" if r.group else "m"
-        rules.append((r.kind, r.pattern, f"length({what}) >= {r.least}" + (" and '2' = '2'" if r.group else "")))
-    return _digest_sql(rules, len(secrets.BASE))
+    assign = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [
+        ("assign", assign, "length(g) >= 6 and '2' = '2'"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+        ("hex", "[0-9a-f]+", "length(m) >= 24"),
+        ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+        ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 20"),
+    ]
+    return _digest_sql(rules, 3)
 
 
 def _pii_sql() -> str:
@@ -115,18 +120,20 @@ def _pii_sql() -> str:
     moved = "substring(replace(m, ' ', ''), 5) || substring(replace(m, ' ', ''), 1, 4)"
     as_digits = f"array_to_string(list_transform(string_split({moved}, ''), lambda c: case when c between '0' and '9' then c else cast(ascii(c) - 55 as varchar) end), '')"
     mod = f"list_reduce(list_transform(string_split({as_digits}, ''), lambda c: cast(c as int)), lambda a, c: (a * 10 + c) % 97) = 1"
+    lengths = " or ".join(f"(length(replace(m, ' ', '')) = {n} and m[1:2] = '{c}')" for c, n in pii.IBAN_LENGTHS.items())
     rules = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: cast(x as double))) <= 255"),
         ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) between 12 and 19 and {luhn}"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 9 and 15"),
-        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", f"{mod} and ({lengths})"),
     ]
     prior = "[" + ", ".join(str(pii.PRIOR[k]) for k in pii.KINDS) + "][k + 1]"
-    near = " when ".join(
-        f"{i} then regexp_matches(around, '(?i)(?:^|[^A-Za-z0-9_])(?:{pii.CONTEXT[k]})')" for i, k in enumerate(pii.KINDS)
-    )
-    more = f"""scored as (select *, round(case when case k when {near} end then {prior} + (1 - {prior}) / 2 else {prior} end, 3) as score
+    def whole(words: dict[str, str]) -> str:
+        return " when ".join(f"{i} then regexp_matches(around, '(?i)(?:^|[^A-Za-z0-9_])(?:{words[k]})(?:[^A-Za-z0-9_]|$)')" for i, k in enumerate(pii.KINDS))
+
+    more = f"""scored as (select *, round(case when case k when {whole(pii.CONTEXT)} end then {prior} + (1 - {prior}) / 2 else {prior} end
+        / case when case k when {whole(pii.AGAINST)} end then 2 else 1 end, 3) as score
       from (select spans.*, substring(t, cast(greatest(s - {pii.NEAR}, 0) as bigint) + 1, cast(s - greatest(s - {pii.NEAR}, 0) as bigint))
         || chr(10) || substring(t, cast(e as bigint) + 1, {pii.NEAR}) as around from spans join texts using (doc_id))),"""
     return _digest_sql(rules, pii.N_BASE, ", string_agg(cast(cast(score as double) as varchar), ',' order by s, k, e) as scores", more)
