@@ -5,8 +5,11 @@ are looked for within a date. Listings at the same known venue meet on the venue
 Pairs that must be similar by characters (ratio of 0.85 or more) share a run of three
 characters, or of two if both titles are short: with L characters in all and u of them
 unmatched, at most u + 1 blocks hold (L - u) / 2 characters, which leaves one block of
-three or more for every L over 13 + 13. Pairs that must contain each other's words share
-a word. So blocking loses no pair.
+three or more for every L over 13 + 13. Where two titles meet, the letters that only one of them has
+(counted up to three of a kind) may be no more than the unmatched ones that the ratio allows; this leaves
+few of those that merely share a run. Titles of which one must hold all words of the other meet on the
+rarest word of the shorter one, and only where a venue is unknown, as the rule asks. So blocking
+loses no pair.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ SHORT_TITLE = 13
 @F.pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two slugs; the order of arguments matters."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
+    known: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b):
+        if pair[0] and pair[1] and pair not in known:
+            known[pair] = difflib.SequenceMatcher(None, *pair).ratio()
+    return pd.Series([known.get(pair, 0.0) for pair in zip(a, b)], dtype=float)
 
 
 def prepared(listings: DataFrame, aliases: dict[str, str] | None = None, umbrella_source: str | None = None) -> DataFrame:
@@ -75,22 +82,42 @@ def _grams(slug: Column) -> Column:
     return F.array_distinct(F.concat(runs(3), short, tiny))
 
 
+def _letters(slug: Column, least: int) -> Column:
+    """A bit for each letter, digit and hyphen that stands ``least`` times or more in the slug."""
+    out = F.lit(0).cast("long")
+    for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789-"):
+        n = F.length(slug) - F.length(F.replace(slug, F.lit(ch), F.lit("")))
+        out = out.bitwiseOR(F.when(n >= least, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def _apart() -> Column:
+    """Letters that only one of the titles of x and y has, counted up to three of a kind."""
+    return sum((F.bit_count(F.col(f"x.l{k}").bitwiseXOR(F.col(f"y.l{k}"))) for k in (1, 2, 3)), F.lit(0))
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of listings that some rule of the decision table could accept."""
     light = rows.select("id", "source", "date", "time", "vkey")
     same_venue = _pairs_on(light.where("vkey <> ''"), "date", "vkey")
     # Rows of one date and slug fold to one title, so frequent titles do not multiply the run lists.
-    titles = rows.where("slug <> ''").select("date", "slug").distinct()
-    by_run = titles.select("date", "slug", F.length("slug").alias("n"), F.explode(_grams(F.col("slug"))).alias("run"))
+    titles = rows.where("slug <> ''").groupBy("date", "slug").agg(F.max(F.col("vkey") == "").alias("unknown"), F.first("tokens").alias("tokens"))
+    titles = cut(titles.select("*", F.length("slug").alias("n"), *[_letters(F.col("slug"), k).alias(f"l{k}") for k in (1, 2, 3)]))
+    by_run = titles.select("date", "slug", "n", "l1", "l2", "l3", F.explode(_grams(F.col("slug"))).alias("run"))
     x, y = by_run.alias("x"), by_run.alias("y")
-    # Similar enough only if the lengths are: 2 min / (n + m) >= ratio.
-    close = 2 * F.least("x.n", "y.n") >= UNKNOWN_RATIO * (F.col("x.n") + F.col("y.n"))
-    near = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.run") == F.col("y.run")) & close)
+    # Similar enough only if the lengths are: 2 min / (n + m) >= ratio; and if few letters are in one title alone.
+    both_long = F.col("x.n") + F.col("y.n")
+    close = 2 * F.least("x.n", "y.n") >= UNKNOWN_RATIO * both_long
+    near = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.run") == F.col("y.run")) & close & (_apart() <= (1 - UNKNOWN_RATIO) * both_long + 1e-9))
     near = near.select(F.col("x.date").alias("date"), F.col("x.slug").alias("s"), F.col("y.slug").alias("t")).distinct()
-    by_token = rows.select("date", "slug", F.explode("tokens").alias("tok")).distinct()
-    shared = by_token.alias("x").join(by_token.alias("y"), ["date", "tok"]).groupBy("date", F.col("x.slug").alias("s"), F.col("y.slug").alias("t"))
-    shared = shared.agg(F.count("*").alias("n")).where("n >= 2").select("date", "s", "t")
-    alike = near.unionByName(shared).distinct()
+    worded = titles.where(F.size("tokens") >= 2).select("date", "slug", "unknown", "tokens", F.explode("tokens").alias("tok"))
+    spread = worded.groupBy("tok").agg(F.count("*").alias("spread"))
+    rarest = worded.join(spread, "tok").groupBy("date", "slug", "unknown", "tokens").agg(F.min_by("tok", F.struct("spread", "tok")).alias("tok"))
+    a, b = rarest.alias("a"), worded.alias("b")
+    holds = (F.size("a.tokens") <= F.size("b.tokens")) & (F.size(F.array_intersect("a.tokens", "b.tokens")) == F.size("a.tokens"))
+    met = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.tok") == F.col("b.tok")) & (F.col("a.unknown") | F.col("b.unknown")) & holds)
+    held = met.select(F.col("a.date").alias("date"), F.col("a.slug").alias("s"), F.col("b.slug").alias("t"))
+    alike = near.unionByName(held).unionByName(held.select("date", F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
     named = rows.select("id", "source", "date", "time", "slug", "vkey")
     a, b = named.alias("a"), named.alias("b")
     both = alike.join(a, (alike.date == F.col("a.date")) & (alike.s == F.col("a.slug"))).join(
@@ -106,7 +133,8 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 def accepted_pairs(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, score, reason, umbrella) of the pairs that the decision table accepts."""
     pairs = candidate_pairs(rows)
-    a, b = rows.alias("x"), rows.alias("y")
+    lettered = rows.withColumns({f"l{k}": _letters(F.col("slug"), k) for k in (1, 2, 3)})
+    a, b = lettered.alias("x"), lettered.alias("y")
     j = pairs.join(a, F.col("a") == F.col("x.id")).join(b, F.col("b") == F.col("y.id"))
     overlap, words = tx.title_overlap(F.col("x.tokens"), F.col("y.tokens"))
     house = F.col("x.source").isin(*house_sources) | F.col("y.source").isin(*house_sources) if house_sources else F.lit(False)
@@ -128,11 +156,17 @@ def accepted_pairs(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> Data
         (F.col("x.umbrella") | F.col("y.umbrella")).alias("umbrella"),
         F.col("x.slug").alias("s"),
         F.col("y.slug").alias("t"),
+        _apart().alias("apart"),
     )
-    # The ratio runs in Python; pairs whose lengths leave it no chance to decide or to raise the score are passed as null, which costs nothing there.
-    bound = 2 * F.least(F.length("s"), F.length("t")) / F.greatest(F.length("s") + F.length("t"), F.lit(1))
+    # The ratio runs in Python; pairs whose lengths, letters or times leave it no chance to decide or to raise the score are
+    # passed as null, which costs nothing there.
+    both_long = F.greatest(F.length("s") + F.length("t"), F.lit(1))
+    bound = F.least(2 * F.least(F.length("s"), F.length("t")) / both_long, 1 - F.col("apart") / both_long) + 1e-9
+    within = lambda most: F.col("delta").isNull() | (F.col("delta") <= most)
+    least = F.when(F.col("where") == "other", OTHER_RATIO).when(F.col("where") == "unknown", UNKNOWN_RATIO).when(within(DELTA), VENUE_RATIO).otherwise(STRONG_RATIO)
     raises = (F.col("where") == "same") & (F.col("overlap") >= VENUE_OVERLAP) & (bound > F.col("overlap"))
-    rated = j.withColumn("ratio", title_ratio(F.when((bound >= VENUE_RATIO) | raises, F.col("s")), "t"))
+    longest = F.when(F.col("where") == "same", STRONG_DELTA).otherwise(DELTA)
+    rated = j.withColumn("ratio", title_ratio(F.when(within(longest) & ((bound >= least) | raises), F.col("s")), "t"))
     o, r = F.col("overlap"), F.col("ratio")
     at = lambda most: F.col("delta").isNull() | (F.col("delta") <= most)
     same, other, unknown = (F.col("where") == w for w in ("same", "other", "unknown"))
