@@ -41,10 +41,10 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known.get(pair, 0.0) for pair in zip(a, b)], dtype=float)
 
 
-def prepared(listings: DataFrame, aliases: dict[str, str] | None = None, umbrella_source: str | None = None) -> DataFrame:
-    """Listings with slug, venue key, tokens, umbrella flag and order within their date."""
+def prepared(listings: DataFrame, aliases: dict[str, str] | None = None, umbrella_source: str | None = None, sections: tuple[str, ...] = ()) -> DataFrame:
+    """Listings with slug, venue key, tokens and umbrella flag; a heading among ``sections`` is a mere section of its source, no festival."""
     slug, raw = tx.slugify(F.col("title")), tx.slugify(F.col("raw_category"))
-    umbrella = (F.col("source") == umbrella_source) & (raw != "") & (slug == raw) if umbrella_source else F.lit(False)
+    umbrella = (F.col("source") == umbrella_source) & (raw != "") & ~raw.isin("", *sections) & (slug == raw) if umbrella_source else F.lit(False)
     return listings.select(
         "id",
         "source",
@@ -280,3 +280,24 @@ def canonical_order(rows: DataFrame, member: DataFrame, rank: Column) -> DataFra
     return r.withColumn("pos", F.row_number().over(w))
 
 
+def find_duplicates(rows: DataFrame, rank: Column, house_sources: tuple[str, ...] = ()) -> DataFrame:
+    """(duplicate, canonical, score, reason) of every listing that is not its cluster's best.
+
+    Score and reason are those of the pair itself if it was accepted; a line-up's member has its heading as the reason, any
+    other its group.
+    """
+    rows = cut(rows)
+    member = clusters(rows, house_sources)
+    placed = cut(canonical_order(rows, member, rank).select("id", "cluster", "pos"))
+    heads = placed.where("pos = 1").select("cluster", F.col("id").alias("canonical"))
+    found = placed.where("pos > 1").join(heads, "cluster").select(F.col("id").alias("duplicate"), "canonical")
+    pairs = accepted_pairs(rows, house_sources).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "score", "reason")
+    own = found.join(pairs, (F.least("duplicate", "canonical") == F.col("lo")) & (F.greatest("duplicate", "canonical") == F.col("hi")), "left")
+    line = lineups(rows).select(F.col("b").alias("duplicate"), F.lit(True).alias("line")).distinct()
+    j = own.join(line, "duplicate", "left")
+    return j.select(
+        "duplicate",
+        "canonical",
+        F.coalesce("score", F.when(F.col("line"), 1.0).otherwise(0.0)).alias("score"),
+        F.coalesce("reason", F.when(F.col("line"), "ueberschrift").otherwise("gruppe")).alias("reason"),
+    )

@@ -54,20 +54,30 @@ def excluded(events: DataFrame) -> DataFrame:
     return named.withColumn("reason", reason).drop("v_")
 
 
-def build(listings: DataFrame, registry: DataFrame, n_ranks: int = 20) -> DataFrame:
-    """Events from listings (id, source, rank, date, time, title, venue, raw_category and optional texts)."""
+def build(
+    listings: DataFrame,
+    registry: DataFrame,
+    n_ranks: int = 20,
+    umbrella_source: str | None = None,
+    sections: tuple[str, ...] = (),
+    house_sources: tuple[str, ...] = (),
+    aliases: dict[str, str] | None = None,
+) -> DataFrame:
+    """Events from listings (id, source, rank, date, time, title, venue, raw_category and optional texts).
+
+    ``umbrella_source`` lists festivals as a row of their own under headings that are none of ``sections``; ``house_sources``
+    are venues' own pages; ``aliases`` joins venue keys.
+    """
     given = set(listings.columns)
     texts = [F.lit(None).cast("string").alias(c) for c in ("url", "image_url", "description", "price_text") if c not in given]
     base = classify.slugged(listings.select("*", *texts), r_="raw_category", t_="title", v_="venue")
     base = base.withColumn("category", classify.category(F.col("r_"), F.col("t_"), F.col("v_"))).drop("r_", "t_", "v_")
     kept, new = gate(base, registry)
     kept = cut(kept)
-    rows = dedup.prepared(kept)
-    member = dedup.clusters(rows)
-    ordered = dedup.canonical_order(rows, member, F.lit(0))
-    ranked = kept.join(ordered.select("id", "cluster", "umbrella"), "id")
-    w = Window.partitionBy("cluster").orderBy(F.coalesce("rank", F.lit(n_ranks)), F.col("id").cast("string"))
-    merged = merge.merge_clusters(ranked.withColumn("pos", F.row_number().over(w)))
+    rows = dedup.prepared(kept, aliases, umbrella_source, sections)
+    member = dedup.clusters(rows, house_sources)
+    ordered = dedup.canonical_order(rows.join(kept.select("id", "rank"), "id"), member, F.coalesce("rank", F.lit(n_ranks)))
+    merged = merge.merge_clusters(kept.join(ordered.select("id", "cluster", "pos"), "id"))
     merged = merged.withColumn("uid", tx.event_uid(F.col("date"), F.col("time"), F.col("title"), F.col("venue")))
     extra = [c for c in ("kind", "excluded", "flavour") if c in registry.columns]
     info = registry.select("slug", F.col("name").alias("venue_name"), *extra)
