@@ -27,7 +27,7 @@ def with_categories(events: DataFrame, chosen: list[str] | None, hidden: DataFra
     """Events of the chosen categories; without a choice, those not in ``hidden`` (one column: category)."""
     if chosen is not None:
         return events.where(F.col("category").isin(*chosen))
-    return events.join(F.broadcast(hidden.limit(1000)), "category", "left_anti")
+    return events.join(hidden.select("category"), "category", "left_anti")
 
 
 def not_meeting_point(kind: Column) -> Column:
