@@ -280,3 +280,30 @@ SPORT_EXCLUDED = (
     r"senior|(?:^|-)ue-?(?:50|55|60|65|70)(?=-|$)|(?:^|-)(?:50|60|65)-?plus(?=-|$)|kinder|kids|familie|"
     r"eltern|baby|babys|kleinkind|mutter-kind|vater-kind|kita|seniorenheim|schueler|(?:^|-)jugend"
 )
+
+# Parts of the slugs of large houses, whose programmes come whole from elsewhere.
+LARGE_HOUSES = (
+    "semperoper", "staatsoperette", "staatsschauspiel", "kleines-haus", "schauspielhaus", "landesbuehnen",
+    "deutsches-nationaltheater", "philharmonie", "kulturpalast", "tjg", "theater-junge-generation",
+    "boulevardtheater", "theaterkahn", "societaetstheater", "carte-blanche", "comoedie", "herkuleskeule",
+    "residenzschloss", "residenzschloss-dresden", "gruenes-gewoelbe", "kupferstich-kabinett", "gemaeldegalerie",
+    "albertinum", "zwinger", "japanisches-palais", "deutsches-hygiene-museum", "hygiene-museum", "verkehrsmuseum",
+    "karl-may-museum", "stadtmuseum", "militaerhistorisches", "slub", "landesbibliothek", "technische-sammlungen",
+    "kunstsammlungen", "anna-amalia",
+    "frauenkirche", "kreuzkirche", "hofkirche", "kathedrale", "dom", "annenkirche", "martin-luther-kirche",
+    "albrechtsburg", "festung", "schloss-pillnitz", "schloss-uebigau", "schloss-klippenstein", "schloss-moritzburg",
+    "schloss-wackerbarth", "barockschloss", "burg-stolpen", "grosssedlitz", "schloss-weesenstein",
+    "schloss-schoenfeld", "kloster-altzella",
+    "filmnaechte", "freilichtbuehne-junge-garde", "junge-garde", "felsenbuehne", "seebuehne", "amphitheater",
+    "konzertplatz-weisser-hirsch", "hellerau", "messe-dresden", "rudolf-harbig-stadion",
+    "touristservice", "glaeserne-manufaktur", "erlebniswelt", "yenidze",
+)
+
+# Words in a feed's categories that let an entry in, and the raw category they stand for.
+FEED_CATEGORIES = (
+    ("demo", "kundgebung"), ("kundgebung", "kundgebung"), ("konzert", "konzert"), ("film", "film"), ("theater", "theater"),
+    ("küfa", ""), ("kneipe", ""),
+)
+
+# An assembly with one of these in its status does not take place.
+ASSEMBLY_OFF = ("abgemeldet", "verboten")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions import extract as ex
+from ..functions import classify, extract as ex, rules
+from ..functions.text import slugify
 
 LATE = "99:99"
 
@@ -180,3 +185,111 @@ def accepted_runs(news: DataFrame, runs: DataFrame, ledger: DataFrame) -> tuple[
 def umbrella_rows(slots: DataFrame, lineups: DataFrame) -> DataFrame:
     """Slots and line-up rows as one list of listings."""
     return slots.unionByName(lineups.withColumn("raw_category", F.col("heading")), allowMissingColumns=True)
+
+
+def is_large_house(venue_slug: Column) -> Column:
+    """Whether a venue's slug names a large house; no venue is none."""
+    return F.exists(F.array(*map(F.lit, rules.LARGE_HOUSES)), lambda p: F.contains(F.coalesce(venue_slug, F.lit("")), p))
+
+
+def allowed(rows: DataFrame) -> DataFrame:
+    """Rows (title, venue, categories) whose categories hold a listed word, and demonstrations by title; with raw_category and category."""
+    words = F.lower(F.coalesce("categories", F.lit("")))
+    raw = rows.withColumn("listed_", classify.first_rule(words, rules.FEED_CATEGORIES)).withColumn("raw_category", F.coalesce("listed_", F.lit("")))
+    slugs = classify.slugged(raw, rs_="raw_category", ts_="title", vs_="venue")
+    judged = slugs.withColumn("category", classify.category(F.col("rs_"), F.col("ts_"), F.col("vs_")))
+    return judged.where("listed_ is not null or category = 'demo'").drop("listed_", "rs_", "ts_", "vs_")
+
+
+def place_name(location: Column) -> Column:
+    """What stands before the first comma; links and mail addresses are no place."""
+    name = F.trim(F.substring_index(location, ",", 1))
+    return F.when((name != "") & ~F.contains(name, F.lit("://")) & ~F.contains(name, F.lit("@")), name)
+
+
+def place_in_region(location: Column) -> tuple[Column, Column]:
+    """(place, whether it is in reach) of "town, place, street"; a place in a town around carries the town's name."""
+    parts = F.filter(F.transform(F.split(F.coalesce(location, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    town, place = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    here = F.lower(town) == "dresden"
+    near = classify.region(slugify(town)) == "umland"
+    around = F.when(near, F.concat_ws(" ", place, town))
+    return F.when(here, place).when(town.isNotNull(), around), F.when(town.isNotNull(), here | near).otherwise(True)
+
+
+def assemblies(texts: DataFrame, start: str, end: str, column: str = "value") -> DataFrame:
+    """``texts`` with a row for each assembly of a JSON text that takes place between two days: date, time, title, venue, description.
+
+    Assemblies without place or title, called off, or with no valid day are left out; a procession's starting point is its place.
+    """
+    fields = ("Startpunkt", "Ort", "Thema", "Status", "Datum", "Zeit", "Veranstalter", "Teilnehmer")
+    kind = "struct<Versammlungen: array<struct<" + ", ".join(f"{f}: string" for f in fields) + ">>>"
+    rest = [c for c in texts.columns if c != column]
+    each = texts.select(*rest, F.explode(F.from_json(column, kind)["Versammlungen"]).alias("v_"))
+    field = lambda f: F.nullif(F.col(f"v_.{f}"), F.lit(""))
+    off = F.exists(F.array(*map(F.lit, rules.ASSEMBLY_OFF)), lambda p: F.contains(F.lower(F.coalesce(field("Status"), F.lit(""))), p))
+    clock = r"([0-9]{1,2})[.:]([0-9]{2})"
+    hour = F.regexp_extract(field("Zeit"), clock, 1)
+    told = lambda before, f, after: F.concat(F.lit(before), f, F.lit(after))
+    place = ex.squeezed(F.coalesce(field("Startpunkt"), field("Ort")))
+    lines = [
+        F.when(field("Startpunkt").isNotNull(), told("Aufzug, Startpunkt: ", place, ".")),
+        told("Veranstalter/-in: ", ex.squeezed(field("Veranstalter")), "."),
+        told("Teilnehmerprognose lt. Veranstalter: ", ex.squeezed(field("Teilnehmer")), "."),
+    ]
+    day = F.when(field("Datum").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(field("Datum"), F.lit("yyyy-MM-dd"))).cast("date")
+    rows = each.where(~off).select(
+        *rest,
+        day.alias("date"),
+        F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.regexp_extract(field("Zeit"), clock, 2))).alias("time"),
+        ex.squeezed(field("Thema")).alias("title"),
+        place.alias("venue"),
+        F.nullif(F.concat_ws(" ", *lines), F.lit("")).alias("description"),
+    )
+    return rows.where(F.col("title").isNotNull() & F.col("venue").isNotNull() & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def _galleries(node: object) -> list[dict]:
+    out, open_ = [], [node]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            for k, v in reversed(x.items()):
+                if k.endswith("_galleryData") and isinstance(v, dict):
+                    out.append(v)
+                else:
+                    open_.append(v)
+        elif isinstance(x, list):
+            open_.extend(reversed(x))
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _gallery_json(texts: pd.Series) -> pd.Series:
+    def items(text: str | None) -> list[str]:
+        try:
+            found = _galleries(json.loads(text or "null"))
+        except ValueError:
+            return []
+        return [json.dumps(i) for g in found for i in g.get("items") or []]
+
+    return texts.map(items)
+
+
+def gallery_items(texts: DataFrame, column: str = "value") -> DataFrame:
+    """``texts`` with a row for each item of a gallery (any key that ends in "_galleryData", at any depth): title, description, link, media.
+
+    Depth is unknown, so a JSON walk in Arrow batches finds the items; broken JSON gives none.
+    """
+    rest = [c for c in texts.columns if c != column]
+    each = texts.select(*rest, F.posexplode(_gallery_json(F.col(column))).alias("item", "j_"))
+    meta = "metaData struct<title: string, description: string, name: string, link: struct<data: struct<url: string>>>, mediaUrl string"
+    got = each.select(*rest, "item", F.from_json("j_", meta).alias("i_"))
+    return got.select(
+        *rest,
+        "item",
+        ex.squeezed(F.col("i_.metaData.title")).alias("title"),
+        F.col("i_.metaData.description").alias("description"),
+        F.col("i_.metaData.link.data.url").alias("link"),
+        F.coalesce("i_.mediaUrl", "i_.metaData.name").alias("media"),
+    ).where("title is not null")

@@ -58,3 +58,50 @@ def valid_marks(messages: DataFrame, today: str, most: int = 100, longest: int =
     good = F.forall("items", lambda x: F.coalesce(x["d"].rlike(r"^\d{4}-\d{2}-\d{2}$") & F.startswith(x["k"], F.concat(x["d"], F.lit("|"))), F.lit(False)))
     kept = F.array_distinct(F.filter("items", lambda x: (x["d"] >= today) & (F.length(x["k"]) <= longest)))
     return messages.where((F.size("items") <= most) & good).withColumn("items", kept)
+
+
+def relinked(bookings: DataFrame, found: DataFrame, events: DataFrame, now: str) -> DataFrame:
+    """Bookings of duplicates after a full search: what is found again keeps ``first_seen``, what is not found any more goes.
+
+    ``found`` has duplicate, canonical, score, reason; ``bookings`` has duplicate and first_seen at least; ``events``
+    gives both sources. Running it twice changes nothing but ``last_seen``.
+    """
+    before = bookings.select("duplicate", "first_seen")
+    a = events.select(F.col("uid").alias("duplicate"), F.col("source").alias("duplicate_source"))
+    b = events.select(F.col("uid").alias("canonical"), F.col("source").alias("canonical_source"))
+    j = found.join(a, "duplicate", "left").join(b, "canonical", "left").join(before, "duplicate", "left")
+    return j.select(
+        "duplicate", "canonical", "duplicate_source", "canonical_source", "score", "reason",
+        F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_seen"),
+    )
+
+
+def unlinked(events: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Events with ``duplicate_of`` as the bookings say: set for duplicates, null for all others."""
+    b = bookings.select(F.col("duplicate").alias("uid"), F.col("canonical").alias("of_"))
+    names = [c for c in events.columns if c != "duplicate_of"]
+    return events.join(b, "uid", "left").select(*names, F.col("of_").alias("duplicate_of"))
+
+
+def filled_from_duplicates(events: DataFrame, bookings: DataFrame, now: str, fields: tuple[str, ...] = ("image_url", "price_text", "description", "url")) -> DataFrame:
+    """Events whose empty fields are taken from their duplicates (the smallest uid that has one first); nothing is overwritten.
+
+    Where the description is taken and no page was read, the duplicate's reading time is taken, or ``now``, so that no
+    later reading empties it again.
+    """
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    dup = events.select(F.col("uid").alias("duplicate"), "detail_fetched_at", *fields).join(bookings.select("duplicate", "canonical"), "duplicate")
+    first = [F.min_by(f, F.when(said(f).isNotNull(), F.col("duplicate"))).alias(f"f_{f}") for f in fields]
+    read = F.min_by(F.struct("detail_fetched_at"), F.when(said("description").isNotNull(), F.col("duplicate"))).alias("read_")
+    got = dup.groupBy(F.col("canonical").alias("uid")).agg(*first, read)
+    j = events.join(got, "uid", "left")
+    takes = said("description").isNull() & F.col("f_description").isNotNull()
+    fetched = F.coalesce("detail_fetched_at", F.when(takes, F.coalesce("read_.detail_fetched_at", F.lit(now))))
+    cols = {f: F.when(said(f).isNull() & F.col(f"f_{f}").isNotNull(), F.col(f"f_{f}")).otherwise(F.col(f)) for f in fields}
+    return j.withColumns(cols | {"detail_fetched_at": fetched}).select(*events.columns)
+
+
+def changed(before: DataFrame, after: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, old, new) of rows whose ``field`` differs between two states of one store."""
+    b = before.select(key, F.col(field).alias("old"))
+    return b.join(after.select(key, F.col(field).alias("new")), key).where(~F.col("old").eqNullSafe(F.col("new")))

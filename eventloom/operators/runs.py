@@ -63,3 +63,8 @@ def fold_runs(events: DataFrame, least: int = 3) -> DataFrame:
     return grouped.groupBy("run_key", "group_").agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("time")), ",").alias("times"), F.min("id").alias("first_id")
     ).drop("group_")
+
+
+def record_runs(entries: DataFrame, path: str) -> None:
+    """Append entries to the run ledger; what stands there stays."""
+    entries.write.mode("append").parquet(path)

@@ -62,13 +62,21 @@ def resolve(listings: DataFrame, registry: DataFrame, order: str = "id") -> tupl
 
 
 def merge_into(registry: DataFrame, mapping: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Venues joined into their targets by ``mapping`` (old, target, ord): the target's values first, then by ord."""
+    """Venues joined into their targets by ``mapping`` (old, target, ord); the registry without those that went.
+
+    The target's aliases come first, then name and aliases of the others by ord, each once. A field that is empty or says
+    "sonstiges" takes the first value of the others that says more.
+    """
     m = registry.join(mapping, registry.slug == mapping.old, "left")
-    m = m.withColumn("to_", F.coalesce("target", "slug")).withColumn("ord_", F.coalesce("ord", F.lit(-1)))
-    pick = [F.min_by(f, F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.col("ord_"))).alias(f) for f in fields]
-    lists = F.array_sort(F.collect_list(F.struct("ord_", "aliases")))
+    m = m.withColumn("to_", F.coalesce("target", "slug")).withColumn("ord_", F.when(F.col("target").isNull(), -1).otherwise(F.col("ord")))
+    none = F.array().cast("array<string>")
+    own = F.coalesce("aliases", none)
+    m = m.withColumn("names_", F.when(F.col("target").isNull(), own).otherwise(F.concat(F.array("name"), own)))
+    said = lambda f: F.nullif(F.col(f).cast("string"), F.lit(""))
+    pick = [F.min_by(f, F.when(said(f).isNotNull(), F.struct(said(f) == "sonstiges", F.col("ord_")))).alias(f) for f in fields]
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord_", "names_"))), lambda x: x["names_"]))
     return m.groupBy(F.col("to_").alias("slug")).agg(
-        *pick, F.array_distinct(F.flatten(F.transform(lists, lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>"))))).alias("aliases")
+        F.min_by("name", "ord_").alias("name"), *pick, F.filter(F.array_distinct(every), lambda x: x != "").alias("aliases")
     )
 
 

@@ -187,3 +187,16 @@ def duplicate_report(duplicates: DataFrame, events: DataFrame, start: str, end:
     b = events.select(F.col("id").alias("canonical"), F.col("title").alias("canonical_title"))
     inside = a.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     return duplicates.join(inside, "duplicate").join(b, "canonical")
+
+
+def slim(events: DataFrame) -> DataFrame:
+    """(uid, json) of events for an export: empty fields left out, region only if not in town, ongoing only if so, score to one place (50 if none)."""
+    texts = ("uid", "title", "date", "time", "venue", "category", "source", "url", "image_url", "price_text", "description", "venue_slug")
+    have = [F.nullif(F.col(f).cast("string"), F.lit("")).alias(f) for f in texts if f in events.columns]
+    more = [
+        F.when(F.col("ongoing"), F.lit(True)).alias("ongoing"),
+        F.when(F.size("tags") > 0, F.col("tags")).alias("tags"),
+        F.when(F.col("region") != "dresden", F.col("region")).alias("region"),
+        F.round(F.coalesce(F.col("score").cast("double"), F.lit(50.0)), 1).alias("score"),
+    ]
+    return events.select("uid", F.to_json(F.struct(*have, *more)).alias("json"))

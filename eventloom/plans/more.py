@@ -94,23 +94,6 @@ def ext6(spark: SparkSession, d: str) -> DataFrame:
     return pages.metadata(tables.read_table(spark, d, "pages")).select("page_id", "title", "heading")
 
 
-_LINKS = rf"""l as (select page_id, unnest(range(0, len(h))) as pos, unnest(h) as href, unnest(t) as label from (
-  select page_id, regexp_extract_all(html, {q(pages.LINK)}, 1) as h, list_transform(regexp_extract_all(html, {q(pages.LINK)}, 2), lambda x: {_squeezed("regexp_replace(x, '<[^>]*>', ' ', 'g')")}) as t from pages))"""
-
-
-@query("ext11_outbound_links", f"""with {_LINKS}, k as (select page_id, count(*) filter (kind = 'inside') as inside, count(*) filter (kind = 'social') as social, count(*) filter (kind = 'other') as other
-  from (select distinct page_id, href, case when not regexp_matches(href, '(?i)^https?://') then 'inside' when regexp_matches(href, {q(pages.SOCIAL)}) then 'social' else 'other' end as kind from l) group by 1)
-  select page_id, coalesce(inside, 0) as inside, coalesce(social, 0) as social, coalesce(other, 0) as other,
-    case when other = 1 then 'ok' when other > 1 then 'ok_mehrdeutig' when social > 0 then 'nur_social' else 'not_found' end as status from pages left join k using (page_id)""")
-def ext11(spark: SparkSession, d: str) -> DataFrame:
-    return pages.outbound(tables.read_table(spark, d, "pages"))
-
-
-@query("ext12_alias_targets", f"with {_LINKS} select label, arg_min(href, (page_id, pos)) as href from l where label is not null group by 1")
-def ext12(spark: SparkSession, d: str) -> DataFrame:
-    return pages.alias_targets(tables.read_table(spark, d, "pages"))
-
-
 # --- filters and views ------------------------------------------------------------------------------
 @query("flt4_range_list", _fx("select id, case when source_pos % 4 = 0 then null else venue end as venue from fx where date between date '2024-01-05' and date '2024-01-25' and raw_category in ('click', 'view') and venue <> 'TBA'"))
 def flt4(spark: SparkSession, d: str) -> DataFrame:
