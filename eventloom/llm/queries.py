@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, line_dedup, packing, pii, secrets, simhash, token_counts, topk, toxicity
+from . import bpe, collocations, embed_dedup, hard_negatives, line_dedup, packing, pii, secrets, simhash, token_counts, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -69,6 +69,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _span_sql(rules: list[tuple[str, str, str]]) -> str:
     """CTE body: (doc_id, k, s, e, m) of the matches that pass; a rule is (kind, pattern, condition on m and g)."""
     parts = []
@@ -165,6 +175,45 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_z
 select query_id, cast(r as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 20"""
 
+_NEGATIVE_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    cast(list_sum(list_transform(list_zip(a.w, c.w), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(r as integer) as rank, negative_id, positive_score, negative_score from (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as r
+  from p join s using (anchor_id)
+  where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score) where r <= 10"""
+
+_COLLOCATION_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as ws
+  from (select lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as piece from documents)),
+one as materialized (select lang, w, count(*) as f from (select lang, unnest(ws) as w from pieces) group by all),
+total as (select lang, sum(f) as n from one group by lang),
+two as materialized (select lang, ws[i] as w1, ws[i + 1] as w2, count(*) as f from (select lang, ws, unnest(range(1, len(ws))) as i from pieces) group by all having count(*) >= 10),
+three as materialized (select lang, ws[i] as w1, ws[i + 1] as w2, ws[i + 2] as w3, count(*) as f
+  from (select lang, ws, unnest(range(1, len(ws) - 1)) as i from pieces) group by all having count(*) >= 10),
+cuts as (
+  select two.lang, w1 || ' ' || w2 as phrase, two.f as a, 1 as k, x.f as l, y.f as r
+  from two join one x on x.lang = two.lang and x.w = w1 join one y on y.lang = two.lang and y.w = w2
+  where not exists (select 1 from three t where t.lang = two.lang and (t.w1, t.w2) = (two.w1, two.w2) and 100 * t.f >= 50 * two.f)
+    and not exists (select 1 from three t where t.lang = two.lang and (t.w2, t.w3) = (two.w1, two.w2) and 100 * t.f >= 50 * two.f)
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  from three t join one x on x.lang = t.lang and x.w = t.w1 join two y on (y.lang, y.w1, y.w2) = (t.lang, t.w2, t.w3)
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, y.f, x.f
+  from three t join one x on x.lang = t.lang and x.w = t.w3 join two y on (y.lang, y.w1, y.w2) = (t.lang, t.w1, t.w2)),
+scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from cuts),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest) join total using (lang) where rank <= 2000"""
+
 _EMBED_SQL = """
 with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
@@ -179,7 +228,7 @@ from embeddings e join comp on comp.node = e.vec_id left join n on n.a = e.vec_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_token_counts, op3_secret_scans, op4_line_dedup, op5_pii, op6_simhash, op7_bpe, op8_top_k, op9_packing, op10_embedding_dedup)
+    every = (op1_toxicity, op2_token_counts, op3_secret_scans, op4_line_dedup, op5_pii, op6_simhash, op7_bpe, op8_top_k, op9_packing, op10_embedding_dedup, op11_hard_negatives, op13_collocations)
     return {f.__name__: f for f in every}
 
 
@@ -190,4 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_pii": _pii_sql(),
         "op8_top_k": _TOP_K_SQL,
         "op10_embedding_dedup": _EMBED_SQL,
+        "op11_hard_negatives": _NEGATIVE_SQL,
+        "op13_collocations": _COLLOCATION_SQL,
     }
