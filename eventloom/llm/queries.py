@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, embed_dedup, hard_negatives, line_dedup, packing, pii, secrets, simhash, token_counts, topk, toxicity
+from . import bpe, collocations, embed_dedup, hard_negatives, html_text, line_dedup, packing, pii, secrets, simhash, token_counts, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -75,6 +75,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.fit(pages))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -228,7 +233,7 @@ from embeddings e join comp on comp.node = e.vec_id left join n on n.a = e.vec_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_token_counts, op3_secret_scans, op4_line_dedup, op5_pii, op6_simhash, op7_bpe, op8_top_k, op9_packing, op10_embedding_dedup, op11_hard_negatives, op13_collocations)
+    every = (op1_toxicity, op2_token_counts, op3_secret_scans, op4_line_dedup, op5_pii, op6_simhash, op7_bpe, op8_top_k, op9_packing, op10_embedding_dedup, op11_hard_negatives, op12_html_text, op13_collocations)
     return {f.__name__: f for f in every}
 
 
