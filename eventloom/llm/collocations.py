@@ -15,7 +15,7 @@ one number of known width and permutes it invertibly (a Feistel network). The le
 name a bucket, the next ones the quotient, and all others are the remainder, so nothing is
 lost. A filter keeps sorted runs: an occupied bit for each quotient, a run-end bit and the
 remainder's bytes for each entry, and a counter of one byte or nine. Filters of ``FAN`` shards
-at a time merge bucket by bucket, level by level, each level written to the shared folder;
+at a time merge bucket by bucket, level by level, one shuffle a level;
 a merge holds about as many entries as one shard does, so its size does not depend on the
 corpus, and phrases found everywhere cost a row a filter. Phrases that reach ``least`` at the last
 level are turned back into ids; what follows is joins of candidates.
@@ -41,7 +41,7 @@ from ..operators.components import ensure_checkpoint_dir
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD = 8 << 20
 #: Filters merged at a time, a power of two.
-FAN_BITS = 6
+FAN_BITS = 8
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 
@@ -273,9 +273,8 @@ def phrase_counts(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFram
     known = each.join(words, ["lang", "word"]).select("shard", "at", "id")
     coded = spark.read.parquet(f"{folder}/shards").select("shard", own(owners[1]).alias("owner"), "tokens")
     found = coded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, "owner long, bucket long, filter binary")
-    found = _saved(found, folder, "filters-0")
     for i in range(1, levels):
-        found = _saved(_merged(found, p, skips[i - 1], skips[i], owners[i + 1]), folder, f"filters-{i}")
+        found = _merged(found, p, skips[i - 1], skips[i], owners[i + 1])
 
     def last(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, n = _sum(p, skips[-1], key[1].as_py(), batches)
@@ -331,6 +330,9 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     threes = three.join(pair("w1", "w2", "f12"), ["w1", "w2"]).join(pair("w2", "w3", "f23"), ["w2", "w3"])
     threes = threes.join(word(1), "w1").join(word(2), "w2").join(word(3), "w3")
     threes = threes.select("lang", F.concat_ws(" ", "s1", "s2", "s3").alias("phrase"), "a", F.least(cut(1, "f1", "f23"), cut(2, "f12", "f3")).alias("c"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = twos.unionAll(threes).select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = twos.unionAll(threes).select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    # The best of each part of a language first, so that a large language is one task's work only for 64 * top rows.
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.withColumn("rank", F.col("rank").cast("long")).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
