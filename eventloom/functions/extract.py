@@ -38,6 +38,32 @@ def squeezed(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+#: Named character references that texts of this kind use; the ampersand comes last.
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß",
+    "eacute": "é", "egrave": "è", "ndash": "–", "mdash": "—", "hellip": "…", "bdquo": "„", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€",
+    "copy": "©", "middot": "·", "amp": "&",
+}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numbers, and the names in ``REFERENCES``."""
+
+    def numbered(x: Column) -> Column:
+        ref = F.lower(F.regexp_extract(x, r"(?i)^(x[0-9a-f]{1,6}|[0-9]{1,7});", 1))
+        point = F.when(ref.startswith("x"), F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        known = (ref != "") & point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(char, F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
+
+    parts = F.split(text, "&#")
+    rest = F.array_join(F.transform(F.slice(parts, 2, 1 << 30), numbered), "")
+    out = F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
+    for name, char in REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
 def time_text(text: Column) -> Column:
     """The whole text if it is a time or a range, else the first h:mm inside (a date with dots is no time)."""
     t = F.trim(text)

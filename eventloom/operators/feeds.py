@@ -19,14 +19,7 @@ def _field(event: Column, name: str) -> Column:
     """Value of a calendar field, its escapes undone; null if absent."""
     raw = F.regexp_extract(event, rf"(?m)^{name}(?:;[^:\r\n]*)?:(.*?)\r?$", 1)
     plain = F.regexp_replace(F.regexp_replace(raw, r"\\n", "\n"), r"\\([,;\\])", "$1")
-    return F.nullif(F.trim(_unescaped(plain)), F.lit(""))
-
-
-def _unescaped(text: Column) -> Column:
-    out = text
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return F.nullif(F.trim(ex.unescaped(plain)), F.lit(""))
 
 
 def calendar_rows(feeds: DataFrame, column: str = "value", zone: str = "Europe/Berlin") -> DataFrame:
@@ -88,7 +81,7 @@ def news_rows(feeds: DataFrame, column: str = "value") -> DataFrame:
     """``feeds`` with a row for each item of an RSS text: title without its leading day, date, link and description; items without a valid day are left out."""
     rest = [c for c in feeds.columns if c != column]
     each = feeds.select(*rest, F.posexplode(ex.feed_items(F.col(column))).alias("item", "x_"))
-    part = lambda tag: F.trim(_unescaped(F.regexp_extract("x_", rf"(?s)<{tag}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1)))
+    part = lambda tag: F.trim(ex.unescaped(F.regexp_extract("x_", rf"(?s)<{tag}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1)))
     title = part("title")
     day = F.try_to_timestamp(F.regexp_extract(title, r"(\d{1,2}\.\d{1,2}\.\d{4})", 1), F.lit("d.M.yyyy")).cast("date")
     return each.select(

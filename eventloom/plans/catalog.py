@@ -479,7 +479,7 @@ _Q["build_events"] = flagship
 
 
 def _load() -> None:
-    from . import extra, more, upkeep  # noqa: F401  they register their queries on import
+    from . import extra, extraction, more, upkeep  # noqa: F401  they register their queries on import
 
 
 def queries() -> dict[str, Query]:
