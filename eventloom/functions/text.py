@@ -142,6 +142,53 @@ def title_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(words > 0, F.size(F.array_intersect(a, b)) / words).otherwise(0.0), words
 
 
+def _longest_common(a: Column, b: Column) -> Column:
+    """The longest block of a that is in b, its first place in a: struct of at (from 1) and size."""
+
+    def step(x: Column, _: Column) -> Column:
+        # One letter more where the block that starts at i goes on in b, else the next start.
+        grown = F.contains(b, F.substring(a, x["i"], x["size"] + 1)) & (x["i"] + x["size"] <= F.length(a))
+        return F.struct(
+            F.when(grown, x["i"]).otherwise(x["i"] + 1).alias("i"), F.when(grown, x["i"]).otherwise(x["at"]).alias("at"), (x["size"] + grown.cast("int")).alias("size")
+        )
+
+    start = F.struct(F.lit(1).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(a) + F.least(F.length(a), F.length(b))), start, step)
+
+
+def title_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two slugs: 2 matches / letters of both. The order of arguments matters; 0 for "".
+
+    The longest common block (first in a, then first in b) matches, then what stands left of it in both, and right of
+    it. Open pairs of pieces wait in an array, so a title costs a few hundred steps on short strings. Letters that are frequent in
+    a title of 200 or more count like all others.
+    """
+    piece = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    rest = lambda s, at: F.substring(s, at, F.length(s))
+
+    def step(x: Column, _: Column) -> Column:
+        top = F.get(x["open"], F.lit(0))
+
+        def split(t: Column, hit: Column) -> Column:
+            j = F.position(F.substring(t["a"], hit["at"], hit["size"]), t["b"])
+            parts = F.array(
+                piece(F.substring(t["a"], F.lit(1), hit["at"] - 1), F.substring(t["b"], F.lit(1), j - 1)),
+                piece(rest(t["a"], hit["at"] + hit["size"]), rest(t["b"], j + hit["size"])),
+            )
+            kept = F.filter(parts, lambda p: (p["a"] != "") & (p["b"] != ""))
+            left = F.slice(x["open"], F.lit(2), F.size(x["open"]))
+            return F.struct((x["n"] + hit["size"]).alias("n"), F.concat(F.when(hit["size"] > 0, kept).otherwise(F.slice(kept, 1, 0)), left).alias("open"))
+
+        # A one-element transform names the block, so that it is looked for once.
+        done = F.transform(F.array(top), lambda t: F.get(F.transform(F.array(_longest_common(t["a"], t["b"])), lambda hit: split(t, hit)), F.lit(0)))
+        return F.when(F.size(x["open"]) > 0, F.get(done, F.lit(0))).otherwise(x)
+
+    start = F.struct(F.lit(0).alias("n"), F.array(piece(a, b)).alias("open"))
+    most = F.least(F.length(a), F.length(b))
+    matched = F.aggregate(F.sequence(F.lit(1), 2 * most + 1), start, step, lambda x: x["n"])
+    return F.when((a != "") & (b != ""), 2.0 * matched / (F.length(a) + F.length(b))).otherwise(F.lit(0.0))
+
+
 def numbers(title: Column) -> Column:
     """Sorted distinct integers in a title, years 19xx and 20xx left out."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(title, F.lit(r"(?<!\d)(?!(?:19|20)\d\d(?!\d))\d+"), F.lit(0))))

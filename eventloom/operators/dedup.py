@@ -9,17 +9,14 @@ three or more for every L over 13 + 13. Where two titles meet, the letters that
 (counted up to three of a kind) may be no more than the unmatched ones that the ratio allows; this leaves
 few of those that merely share a run. Titles of which one must hold all words of the other meet on the
 rarest word of the shorter one, and only where a venue is unknown, as the rule asks. So blocking
-loses no pair.
+loses no pair. Of a title's runs only the rarer ones are posted (see :func:`_rare_runs`).
 """
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import text as tx
 from .components import connected_components, cut
@@ -31,16 +28,6 @@ UNKNOWN_RATIO, OTHER_RATIO = 0.85, 0.9
 SHORT_TITLE = 13
 
 
-@F.pandas_udf(DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two slugs; the order of arguments matters."""
-    known: dict[tuple[str, str], float] = {}
-    for pair in zip(a, b):
-        if pair[0] and pair[1] and pair not in known:
-            known[pair] = difflib.SequenceMatcher(None, *pair).ratio()
-    return pd.Series([known.get(pair, 0.0) for pair in zip(a, b)], dtype=float)
-
-
 def prepared(listings: DataFrame, aliases: dict[str, str] | None = None, umbrella_source: str | None = None, sections: tuple[str, ...] = ()) -> DataFrame:
     """Listings with slug, venue key, tokens and umbrella flag; a heading among ``sections`` is a mere section of its source, no festival."""
     slug, raw = tx.slugify(F.col("title")), tx.slugify(F.col("raw_category"))
@@ -82,13 +69,21 @@ def _grams(slug: Column) -> Column:
     return F.array_distinct(F.concat(runs(3), short, tiny))
 
 
-def _letters(slug: Column, least: int) -> Column:
-    """A bit for each letter, digit and hyphen that stands ``least`` times or more in the slug."""
-    out = F.lit(0).cast("long")
-    for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789-"):
-        n = F.length(slug) - F.length(F.replace(slug, F.lit(ch), F.lit("")))
-        out = out.bitwiseOR(F.when(n >= least, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-"
+
+
+def _letters(slug: Column) -> Column:
+    """Struct of l1, l2 and l3: a bit for each letter, digit and hyphen that stands once, twice, three times or more in the slug."""
+
+    def add(x: Column, ch: Column) -> Column:
+        at = F.position(ch, F.lit(ALPHABET))
+        bit = F.when((at > 0) & (ch != ""), F.expr("1L")).otherwise(F.expr("0L"))
+        bit = F.call_function("shiftleft", bit, F.greatest(at - 1, F.lit(0)))
+        l1, l2, l3 = x["l1"], x["l2"], x["l3"]
+        return F.struct(l1.bitwiseOR(bit).alias("l1"), l2.bitwiseOR(l1.bitwiseAND(bit)).alias("l2"), l3.bitwiseOR(l2.bitwiseAND(bit)).alias("l3"))
+
+    none = F.struct(*[F.expr("0L").alias(k) for k in ("l1", "l2", "l3")])
+    return F.aggregate(F.split(slug, ""), none, add)
 
 
 def _apart() -> Column:
@@ -96,14 +91,29 @@ def _apart() -> Column:
     return sum((F.bit_count(F.col(f"x.l{k}").bitwiseXOR(F.col(f"y.l{k}"))) for k in (1, 2, 3)), F.lit(0))
 
 
+def _rare_runs(titles: DataFrame) -> DataFrame:
+    """Titles by each of their runs, without the most frequent ones that a similar title need not share.
+
+    Two titles of n and m letters with a ratio of 0.85 share (n + m) / 8 - 2 runs of three or more, by the count of blocks above, and
+    m is at least 0.739 n; repeats of a run are taken off. With t shared runs, one of the rarest (runs - t + 1) of
+    either title is among them, in any one order of runs. Short titles keep all.
+    """
+    each = titles.select("date", "slug", "n", "l1", "l2", "l3", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    spread = titles.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("spread"))
+    rarity = F.row_number().over(Window.partitionBy("date", "slug").orderBy("spread", "run"))
+    repeats = F.col("n") - 2 - F.col("size")
+    shared = F.when(F.col("n") > SHORT_TITLE, F.greatest(F.ceil(F.col("n") * ((2 / (2 - UNKNOWN_RATIO)) / 8) - 2 - 1e-9) - repeats, F.lit(1))).otherwise(1)
+    return each.join(spread, "run").withColumn("r", rarity).where(F.col("r") <= F.col("size") - shared + 1).drop("size", "spread", "r")
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of listings that some rule of the decision table could accept."""
     light = rows.select("id", "source", "date", "time", "vkey")
     same_venue = _pairs_on(light.where("vkey <> ''"), "date", "vkey")
     # Rows of one date and slug fold to one title, so frequent titles do not multiply the run lists.
     titles = rows.where("slug <> ''").groupBy("date", "slug").agg(F.max(F.col("vkey") == "").alias("unknown"), F.first("tokens").alias("tokens"))
-    titles = cut(titles.select("*", F.length("slug").alias("n"), *[_letters(F.col("slug"), k).alias(f"l{k}") for k in (1, 2, 3)]))
-    by_run = titles.select("date", "slug", "n", "l1", "l2", "l3", F.explode(_grams(F.col("slug"))).alias("run"))
+    titles = cut(titles.withColumns({"n": F.length("slug"), "l": _letters(F.col("slug")), "runs": _grams(F.col("slug"))}).select("*", "l.*").drop("l"))
+    by_run = _rare_runs(titles)
     x, y = by_run.alias("x"), by_run.alias("y")
     # Similar enough only if the lengths are: 2 min / (n + m) >= ratio; and if few letters are in one title alone.
     both_long = F.col("x.n") + F.col("y.n")
@@ -133,7 +143,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 def accepted_pairs(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, score, reason, umbrella) of the pairs that the decision table accepts."""
     pairs = candidate_pairs(rows)
-    lettered = rows.withColumns({f"l{k}": _letters(F.col("slug"), k) for k in (1, 2, 3)})
+    lettered = rows.withColumn("l", _letters(F.col("slug"))).select("*", "l.*")
     a, b = lettered.alias("x"), lettered.alias("y")
     j = pairs.join(a, F.col("a") == F.col("x.id")).join(b, F.col("b") == F.col("y.id"))
     overlap, words = tx.title_overlap(F.col("x.tokens"), F.col("y.tokens"))
@@ -158,15 +168,18 @@ def accepted_pairs(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> Data
         F.col("y.slug").alias("t"),
         _apart().alias("apart"),
     )
-    # The ratio runs in Python; pairs whose lengths, letters or times leave it no chance to decide or to raise the score are
-    # passed as null, which costs nothing there.
+    # The ratio is dear: it runs once for two titles, and only where lengths, letters and times leave it a chance to decide or
+    # to raise the score.
     both_long = F.greatest(F.length("s") + F.length("t"), F.lit(1))
     bound = F.least(2 * F.least(F.length("s"), F.length("t")) / both_long, 1 - F.col("apart") / both_long) + 1e-9
     within = lambda most: F.col("delta").isNull() | (F.col("delta") <= most)
     least = F.when(F.col("where") == "other", OTHER_RATIO).when(F.col("where") == "unknown", UNKNOWN_RATIO).when(within(DELTA), VENUE_RATIO).otherwise(STRONG_RATIO)
     raises = (F.col("where") == "same") & (F.col("overlap") >= VENUE_OVERLAP) & (bound > F.col("overlap"))
     longest = F.when(F.col("where") == "same", STRONG_DELTA).otherwise(DELTA)
-    rated = j.withColumn("ratio", title_ratio(F.when(within(longest) & ((bound >= least) | raises), F.col("s")), "t"))
+    asked = within(longest) & ((bound >= least) | raises)
+    j = cut(j.withColumn("s", F.when(asked, F.col("s"))).withColumn("t", F.when(asked, F.col("t"))).drop("apart"))
+    ratios = j.where("s is not null").select("s", "t").distinct().repartition("s", "t").withColumn("ratio", tx.title_ratio(F.col("s"), F.col("t")))
+    rated = j.join(ratios, ["s", "t"], "left").fillna(0.0, ["ratio"])
     o, r = F.col("overlap"), F.col("ratio")
     at = lambda most: F.col("delta").isNull() | (F.col("delta") <= most)
     same, other, unknown = (F.col("where") == w for w in ("same", "other", "unknown"))
@@ -242,14 +255,15 @@ def _greedy(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(i, min(g)) for g in groups.values() for i in g], columns=["id", "cluster"])
 
 
-def clusters(rows: DataFrame, house_sources: tuple[str, ...] = ()) -> DataFrame:
-    """(id, cluster) of all listings; a cluster is named by its smallest id.
+def clusters(rows: DataFrame, house_sources: tuple[str, ...] = (), accepted: DataFrame | None = None) -> DataFrame:
+    """(id, cluster) of all listings; a cluster is named by its smallest id. ``accepted`` spares looking for the pairs again.
 
     Merges never leave a connected component of the pairs, and a component never leaves its date, so each component is
     grouped on its own; its members are the listings of one event and its lookalikes that day.
     """
     rows, none = cut(rows), F.lit(None)
-    pairs = accepted_pairs(rows, house_sources).select("a", "b", "score", "umbrella", F.lit("pair").alias("kind"))
+    pairs = accepted_pairs(rows, house_sources) if accepted is None else accepted
+    pairs = pairs.select("a", "b", "score", "umbrella", F.lit("pair").alias("kind"))
     forced = lambda df, kind: df.select("a", "b", F.lit(1.0).alias("score"), F.lit(False).alias("umbrella"), F.lit(kind).alias("kind"))
     edges = pairs.unionAll(forced(self_duplicates(rows), "self")).unionAll(forced(lineups(rows), "line"))
     edges = cut(edges)
@@ -268,13 +282,24 @@ def _greedy_typed(batch: pd.DataFrame) -> pd.DataFrame:
     return _greedy(batch).astype("int64")
 
 
+def best_ranks(delivered: DataFrame, ranks: DataFrame, unknown: int) -> DataFrame:
+    """(id, rank): the best rank among all sources that delivered a listing (``delivered``: id, source); sources without a rank stand last."""
+    ranked = delivered.join(ranks, "source", "left")
+    return ranked.groupBy("id").agg(F.min(F.coalesce("rank", F.lit(unknown))).alias("rank"))
+
+
 def canonical_order(rows: DataFrame, member: DataFrame, rank: Column) -> DataFrame:
-    """Rows with their cluster and position in it, best first: rank, umbrella, umbrella time, id as text."""
+    """Rows with their cluster and position in it, best first: rank, umbrella, umbrella time, first seen, id as text.
+
+    ``rank`` is that of the best source that delivered the row (see :func:`best_ranks`); rows without ``first_seen`` come first.
+    """
     r = rows.join(member, "id")
+    seen = F.coalesce(F.col("first_seen").cast("string"), F.lit("")) if "first_seen" in rows.columns else F.lit("")
     w = Window.partitionBy("cluster").orderBy(
         rank,
         F.when(F.col("umbrella"), 0).otherwise(1),
         F.when(F.col("umbrella"), F.coalesce("time", F.lit("99:99"))).otherwise(""),
+        seen,
         F.col("id").cast("string"),
     )
     return r.withColumn("pos", F.row_number().over(w))
@@ -287,11 +312,12 @@ def find_duplicates(rows: DataFrame, rank: Column, house_sources: tuple[str, ...
     other its group.
     """
     rows = cut(rows)
-    member = clusters(rows, house_sources)
+    accepted = cut(accepted_pairs(rows, house_sources))
+    member = clusters(rows, house_sources, accepted)
     placed = cut(canonical_order(rows, member, rank).select("id", "cluster", "pos"))
     heads = placed.where("pos = 1").select("cluster", F.col("id").alias("canonical"))
     found = placed.where("pos > 1").join(heads, "cluster").select(F.col("id").alias("duplicate"), "canonical")
-    pairs = accepted_pairs(rows, house_sources).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "score", "reason")
+    pairs = accepted.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "score", "reason")
     own = found.join(pairs, (F.least("duplicate", "canonical") == F.col("lo")) & (F.greatest("duplicate", "canonical") == F.col("hi")), "left")
     line = lineups(rows).select(F.col("b").alias("duplicate"), F.lit(True).alias("line")).distinct()
     j = own.join(line, "duplicate", "left")

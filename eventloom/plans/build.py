@@ -36,15 +36,19 @@ def suffixed_uids(events: DataFrame) -> DataFrame:
 def inherit_category(events: DataFrame) -> DataFrame:
     """Events of no category take their venue's, if its kind is curated and its other events agree on one."""
     told = F.when(~F.col("category").isin("sonstiges", "demo"), F.col("category"))
-    seen = F.collect_set(told).over(Window.partitionBy("ort"))
-    takes = (F.col("category") == "sonstiges") & F.col("kind").isNotNull() & (F.size(seen) == 1)
-    return events.withColumn("category", F.when(takes, F.get(seen, 0)).otherwise(F.col("category")))
+    seen = events.where("ort is not null and kind is not null").groupBy(F.col("ort").alias("ort_"))
+    seen = seen.agg(F.min(told).alias("least_"), F.max(told).alias("most_")).where("least_ = most_")
+    takes = (F.col("category") == "sonstiges") & F.col("kind").isNotNull() & F.col("least_").isNotNull()
+    joined = events.join(seen, F.col("ort") == F.col("ort_"), "left")
+    return joined.withColumn("category", F.when(takes, F.col("least_")).otherwise(F.col("category"))).drop("ort_", "least_", "most_")
 
 
 def mark_ongoing(events: DataFrame, days: int = ONGOING_DAYS) -> DataFrame:
     """Whether an event's title takes place at its venue on ``days`` dates or more; a missing venue is a venue."""
-    dates = F.size(F.collect_set("date").over(Window.partitionBy("title", "ort")))
-    return events.withColumn("ongoing", dates >= days)
+    long = events.select(F.col("title").alias("title_"), F.col("ort").alias("ort_"), "date").distinct().groupBy("title_", "ort_")
+    long = long.agg(F.count("date").alias("n_")).where(F.col("n_") >= days)
+    joined = events.join(long, F.col("title").eqNullSafe(F.col("title_")) & F.col("ort").eqNullSafe(F.col("ort_")), "left")
+    return joined.withColumn("ongoing", F.col("n_").isNotNull()).drop("title_", "ort_", "n_")
 
 
 def excluded(events: DataFrame) -> DataFrame:

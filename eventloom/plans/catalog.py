@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text as tx
 from ..operators import dedup, runs, venues
+from ..operators.components import cut
 from ..sources import tables
 from . import build as plan
 from . import sql as s
@@ -314,7 +315,7 @@ def joi2(spark: SparkSession, d: str) -> DataFrame:
 @query("clu1_accepted_pairs")
 def clu1(spark: SparkSession, d: str) -> DataFrame:
     rows = listings(spark, d).withColumn("category", F.lit("musik"))
-    return dedup.accepted_pairs(dedup.prepared(rows)).withColumn("score", F.round("score", 6))
+    return dedup.accepted_pairs(cut(dedup.prepared(rows))).withColumn("score", F.round("score", 6))
 
 
 @query("clu3_clusters")
