@@ -224,6 +224,17 @@ def web_url(url: Column) -> Column:
     return F.when(F.lower(url).rlike("^https?://"), url)
 
 
+# A placeholder that is no image, and the names of one video host's large images.
+NO_IMAGE = "kulturkalender-dresden.de/img/fallback"
+LARGE_IMAGE = r"(//i\.ytimg\.com/vi/[^/]+/)(?!hqdefault\.jpg)[a-z]*default\.jpg"
+
+
+def image_url(url: Column) -> Column:
+    """A web address of an image: no placeholder, and of a video host's images the one of middle size."""
+    web = web_url(url)
+    return F.when(~F.contains(web, F.lit(NO_IMAGE)), F.regexp_replace(web, LARGE_IMAGE, "$1hqdefault.jpg"))
+
+
 def without_query(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*$", "")
 

@@ -64,6 +64,8 @@ _LEDGER = """ledger as (select event_id as id, user_id % 20 as source, ts as sta
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in _Q:
+            raise ValueError(f"two queries are named {name}")
         _Q[name] = f
         if sql:
             _SQL[name] = sql
@@ -202,8 +204,9 @@ query("scl24_region", _fx(f"select id, {s.region('v')} as region from slugs", _S
 query("scl33_exclusion", _fx(f"select id, {s.exclusion('lower(title)')} as reason from fx"))(
     lambda spark, d: _slugs(spark, d).select("id", classify.exclusion_reason(c("title"), F.lit("musik"), c("v"), F.lit(""), F.lit("")).alias("reason"))
 )
-query("scl14_tags")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.tags(c("t"), c("v"), no())).alias("tags")))
-query("scl32_facets")(lambda spark, d: _slugs(spark, d).select("id", joined(classify.facets(c("t"), c("category"), c("v"), no())).alias("facets")))
+query("scl14_tags", _fx(f"select id, {s.tags('t', 'v', chr(39) * 2)} as tags from slugs", _SLUGS))(lambda spark, d: _slugs(spark, d).select("id", joined(classify.tags(c("t"), c("v"), no())).alias("tags")))
+_CATEGORIZED = f"{_SLUGS}, cats as materialized (select *, {s.category('t', 'r', 'v')} as cat from slugs)"
+query("scl32_facets", _fx(f"select id, {jsql(s.facets('t', 'cat', 'v', chr(39) * 2))} as facets from cats", _CATEGORIZED))(lambda spark, d: _slugs(spark, d).select("id", joined(classify.facets(c("t"), c("category"), c("v"), no())).alias("facets")))
 query("scl10_title_decides", f"with {_DOC} select doc_id, {s.category('t', chr(39) * 2, chr(39) * 2)} as category from slugs")(
     lambda spark, d: _doc_slugs(spark, d).select("doc_id", classify.category(F.lit(""), c("t"), F.lit("")).alias("category"))
 )
@@ -480,7 +483,7 @@ _Q["build_events"] = flagship
 
 
 def _load() -> None:
-    from . import extra, extraction, more, upkeep  # noqa: F401  they register their queries on import
+    from . import extra, extraction, more, publishing, upkeep  # noqa: F401  they register their queries on import
 
 
 def queries() -> dict[str, Query]:

@@ -157,13 +157,6 @@ def agg5(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(total("n").alias("listings"), F.count("*").alias("events"), F.count_if(c("a") < c("b")).alias("merged"), total("h").alias("hearted"))
 
 
-@query("agg7_enrichment_targets", _fx("select slug, count(f.id) as n from reg left join (select * from fx where date >= date '2024-01-15') f on f.venue = reg.name where pos % 3 <> 0 group by slug order by n desc, slug limit 25", _REG))
-def agg7(spark: SparkSession, d: str) -> DataFrame:
-    up = tables.listings_scan(listings(spark, d), "2024-01-15").groupBy("venue").agg(F.count("*").alias("k"))
-    j = registry(spark, d).where("kind is null").join(up, c("name") == c("venue"), "left").select("slug", F.coalesce("k", F.lit(0)).alias("n"))
-    return j.orderBy(F.desc("n"), "slug").limit(25)
-
-
 @query("agg10_source_health", f"with {_LEDGER} select s.source, max(id) as last_run, max(started_at) filter (ok) as last_success from (select range as source from range(25)) s left join ledger l on l.source = s.source group by 1")
 def agg10(spark: SparkSession, d: str) -> DataFrame:
     runs_ = ledger(spark, d).groupBy("source").agg(F.max("id").alias("last_run"), F.max(F.when(c("ok"), c("started_at"))).alias("last_success"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import rules
+from ..functions import classify, rules
 
 LISTINGS = """base as (
  select e.event_id as id, cast(e.ts as date) as date,
@@ -114,3 +114,43 @@ def exclusion(t: str) -> str:
     return f"""case when regexp_matches({t}, {q(rules.CANCELLED)}) then 'abgesagt'
       when regexp_matches({t}, {q(rules.SENIORS.replace(chr(92) + 'bü', '(?:^|[^a-z0-9_äöüß])ü'))}) then 'Senioren'
       when regexp_matches({t}, {q(rules.TOURISTS)}) then 'Touristen-Angebot' end"""
+
+
+def tags(t: str, v: str, kind: str) -> str:
+    """Sorted context tags from slug columns, comma-joined."""
+    museum = f"({any_in(v, rules.TAG_MUSEUM)} or {kind} = 'museum') and not {any_in(v, rules.TAG_MUSEUM_NOT)}"
+    rows = {
+        "kirche": f"{any_in(v, rules.TAG_CHURCH)} or {kind} = 'kirche'",
+        "museum": museum,
+        "open-air": f"contains({t}, 'open-air') or contains({t}, 'openair')",
+        "klassik": any_in(t, rules.TAG_CLASSICAL),
+        "techno": f"contains({t}, 'techno') or contains({t}, '-rave')",
+    }
+    every = ", ".join(f"case when {w} then '{n}' end" for n, w in rows.items())
+    return f"array_to_string(list_sort(list_filter([{every}], lambda x: x is not null)), ',')"
+
+
+def facets(t: str, cat: str, v: str, flavour: str) -> str:
+    """The list of an event's facets from slug columns; ``cat`` and ``flavour`` may not be null."""
+    out = []
+    for area, subs in classify.AREAS.items():
+        holds = {}
+        for name, own in subs:
+            word = matches(t, rules.FACET_WORDS[name])
+            if name in rules.FACET_NOT:
+                word = f"{word} and not {matches(t, rules.FACET_NOT[name])}"
+            place = f"{flavour} = '{own}'" if own else "false"
+            if name == "film":
+                place = f"{flavour} = '' and {matches(v, rules.FILM_VENUE)}"
+            holds[name] = f"({cat} in ('{area}', 'sonstiges') and (({place}) or ({word})))"
+        for name, _ in subs:
+            shown = f"{holds[name]} and not {holds['jazz']}" if name == "klassik" else holds[name]
+            out.append(f"case when {shown} then '{name}' end")
+        out.append(f"case when {cat} = '{area}' or {' or '.join(holds.values())} then '{area}' end")
+    family = f"{cat} = 'familie' or ({flavour} = 'familie' and {cat} in ('familie', 'sonstiges'))"
+    veto = f"({matches(t, rules.SPECTATOR_SPORT)} or {matches('(' + t + chr(32) + '|| ' + q('-') + ' || ' + v + ')', rules.SPORT_EXCLUDED)})"
+    sport = f"""{cat} not in ('familie', 'demo') and not {veto} and ({cat} = 'sport' or
+      ({matches(t, rules.SPORT)} or {matches(t, rules.SPORT_MORE)}) and not {matches(t, rules.SPORT_NOT)})"""
+    for name, w in (("demo", f"{cat} = 'demo'"), ("familie", family), ("outdoor", f"{cat} = 'outdoor'"), ("sport", sport)):
+        out.append(f"case when {w} then '{name}' end")
+    return f"list_filter([{', '.join(out)}], lambda x: x is not null)"
