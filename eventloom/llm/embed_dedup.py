@@ -32,6 +32,8 @@ from .topk import usable
 
 #: Leading axes multiplied before each test of the bound.
 STEPS = (24, 40)
+#: Rows of a tile compared at a time, which bounds the pairs in memory.
+SLICE = 128
 #: Axes by which rows are dealt, and the most of them that split blocks.
 RANGE_AXES, MAX_SPLITS = 8, 8
 #: Allowances for rounding: of bounds in single and in double precision.
@@ -73,17 +75,17 @@ def _suffix(r: np.ndarray, at: int) -> np.ndarray:
     return np.sqrt((r[:, at:] ** 2).sum(1))
 
 
-def similar_in_tile(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into x, into y) with cosine at or over ``threshold``."""
+def similar_in_slices(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into x, into y) with cosine at or over ``threshold``, for ``SLICE`` rows of x at a time; no pair is kept."""
     xr, yr = _unit(x) @ axes, _unit(y) @ axes
     dim = x.shape[1]
     steps = [s for s in STEPS if s < dim] or [dim]
     first = steps[0]
     lead = lambda r: np.column_stack([r[:, :first], _suffix(r, first)]).astype(np.float32)
     xb, yb = lead(xr), np.ascontiguousarray(lead(yr).T)
-    found_i, found_j = [], []
-    for at in range(0, len(x), 256):
-        i, j = np.divmod(np.flatnonzero(xb[at : at + 256] @ yb >= np.float32(threshold - _SLACK32)), len(y))
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    for at in range(0, len(x), SLICE):
+        i, j = np.divmod(np.flatnonzero(xb[at : at + SLICE] @ yb >= np.float32(threshold - _SLACK32)), len(y))
         i += at
         known = _pairwise(xr[:, :first], yr[:, :first], i, j)
         for a, b in zip(steps, [*steps[1:], dim]):
@@ -91,12 +93,14 @@ def similar_in_tile(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: f
             i, j, known = i[keep], j[keep], known[keep]
             if a < b and len(i):
                 known = known + _pairwise(xr[:, a:b], yr[:, a:b], i, j)
-        found_i.append(i)
-        found_j.append(j)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    norm = lambda v: np.linalg.norm(v, axis=1)
-    keep = _pairwise(x, y, i, j) / (norm(x)[i] * norm(y)[j]) >= threshold
-    return i[keep], j[keep]
+        keep = _pairwise(x, y, i, j) / (nx[i] * ny[j]) >= threshold
+        yield i[keep], j[keep]
+
+
+def similar_in_tile(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of a tile at once; for tiles with few."""
+    i, j = zip(*similar_in_slices(x, y, axes, threshold))
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _pairwise(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -108,9 +112,10 @@ def _pairwise(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return out
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes."""
-    label = np.arange(n)
+def _roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each node, given the roots so far and further links, which are followed between roots."""
+    i, j = label[i], label[j]
+    i, j = i[i != j], j[i != j]
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
@@ -219,15 +224,15 @@ def _tiles(reps: DataFrame, axes: np.ndarray, mean: np.ndarray, n: int, threshol
         rep, count = t["rep"].to_numpy(), t["n"].to_numpy()
         x = _dense(t["embedding"].combine_chunks())
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        i, j = similar_in_tile(x[left], x[right], axes, threshold)
-        i, j = left[i], right[j]
-        other = i != j
-        i, j = i[other], j[other]
-        links = np.zeros(len(rep), np.int64)
-        np.add.at(links, i, count[j])
-        if lo != hi:
-            np.add.at(links, j, count[i])
-        root = _roots(len(rep), i, j)
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for i, j in similar_in_slices(x[left], x[right], axes, threshold):
+            i, j = left[i], right[j]
+            other = i != j
+            i, j = i[other], j[other]
+            np.add.at(links, i, count[j])
+            if lo != hi:
+                np.add.at(links, j, count[i])
+            root = _roots(root, i, j)
         hit = links > 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[root[hit]])], names=["rep", "links", "root"]
