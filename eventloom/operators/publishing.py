@@ -55,6 +55,40 @@ def event_documents(events: DataFrame, venues: DataFrame, flavours: DataFrame) -
     return j.select("date", "time", "title", "uid", "ort", doc.alias("json"))
 
 
+# Areas of the filter with their facets, in the order shown, and labels. "familie" is computed but never shown.
+AREA_LABELS = {
+    "musik": "Musik", "club": "Club & Party", "rock": "Rock & Metal", "indie": "Punk, Indie & Bars", "jazz": "Jazz, Blues & Swing", "klassik": "Klassik & Chor",
+    "kultur": "Kultur", "buehne": "Theater & Bühne", "film": "Kino & Film", "wort": "Lesung & Vortrag", "kunst": "Ausstellungen & Museen",
+    "demo": "Demos", "familie": "Familie", "outdoor": "Feste & Märkte", "sport": "Sport",
+}
+UNSHOWN = ("familie",)
+
+
+def facet_dimension(spark: SparkSession) -> DataFrame:
+    """(pos, area, facet, label) of the filter in display order; facet is null for the area itself."""
+    rows, area = [], None
+    parts = {name: a for a, subs in classify.AREAS.items() for name, _ in subs}
+    for key, label in AREA_LABELS.items():
+        if key in UNSHOWN:
+            continue
+        area = parts.get(key, key)
+        rows.append((len(rows), area, key if key in parts else None, label))
+    return spark.createDataFrame(rows, "pos int, area string, facet string, label string")
+
+
+def facet_counts(facets: DataFrame, dimension: DataFrame) -> DataFrame:
+    """``dimension`` with how many rows of ``facets`` (an array column) carry each entry."""
+    n = facets.select(F.explode_outer("facets").alias("key_")).groupBy("key_").agg(F.count("*").alias("n"))
+    j = dimension.join(n, F.coalesce("facet", "area") == F.col("key_"), "left").drop("key_")
+    return j.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def reason_counts(events: DataFrame) -> DataFrame:
+    """(reason, n) of events with a reason to be kept out, what follows a colon left off."""
+    said = F.trim(F.regexp_replace("reason", ":.*$", ""))
+    return events.where("reason is not null").groupBy(said.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def venue_documents(venues: DataFrame, events: DataFrame, flavours: DataFrame) -> DataFrame:
     """(slug, json) of the venues that a published event uses, that are marked by heart, or that carry a flavour."""
     used = events.where("ort is not null").select(F.col("ort").alias("slug"))

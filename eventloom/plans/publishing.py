@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classify
 from ..operators import publishing as pub
+from ..operators import runs
 from ..operators.components import ensure_checkpoint_dir
+from ..sources import tables
 from . import sql as s
-from .catalog import _fx, _SLUGS, c, listings, query
+from .catalog import _CATEGORIZED, _fx, _SLUGS, _slugs, c, listings, query
 from .extra import _E, _V, _ve, events_of, venues_of
 
 #: Events and venues with all published fields, by one SQL text in both engines.
@@ -152,3 +155,41 @@ def cur12(spark: SparkSession, d: str) -> DataFrame:
     own = kept.select(text(c("id")).alias("event_uid"), F.concat(F.lit("own"), "id").alias("run_key"), F.array().cast("array<string>").alias("member_uids"))
     run = kept.select(F.concat(F.lit("n"), "id").alias("event_uid"), F.concat(F.lit("run"), "id").alias("run_key"), F.array(text(c("id")), text(c("id") + 1)).alias("member_uids"))
     return pub.hearts_of(e.select(text(c("id")).alias("uid")), own.unionByName(run)).select(c("uid").cast("long").alias("id"), "run_key")
+
+
+_WANT = ", ".join(f"({i}, '{a}', {s.q(f) if f else 'null'}, {s.q(label)})" for i, (a, f, label) in enumerate(
+    [("musik", None, "Musik"), ("musik", "club", "Club & Party"), ("musik", "rock", "Rock & Metal"), ("musik", "indie", "Punk, Indie & Bars"), ("musik", "jazz", "Jazz, Blues & Swing"),
+     ("musik", "klassik", "Klassik & Chor"), ("kultur", None, "Kultur"), ("kultur", "buehne", "Theater & Bühne"), ("kultur", "film", "Kino & Film"), ("kultur", "wort", "Lesung & Vortrag"),
+     ("kultur", "kunst", "Ausstellungen & Museen"), ("demo", None, "Demos"), ("outdoor", None, "Feste & Märkte"), ("sport", None, "Sport")]))
+
+
+@query("src18_facet_counts", _fx(f"""select d.pos, d.area, d.facet, d.label, count(x.key) as n from (values {_WANT}) d(pos, area, facet, label)
+  left join (select unnest({s.facets('t', 'cat', 'v', chr(39) * 2)}) as key from cats) x on x.key = coalesce(d.facet, d.area) group by all""", _CATEGORIZED))
+def src18(spark: SparkSession, d: str) -> DataFrame:
+    found = _slugs(spark, d).select(classify.facets(c("t"), c("category"), c("v"), F.lit(None).cast("string")).alias("facets"))
+    return pub.facet_counts(found, pub.facet_dimension(spark))
+
+
+@query("flt3_reason_counts", _fx(f"select reason, count(*) as n from (select case when id % 9 = 0 then 'Ort' else {s.exclusion('lower(said)')} end as reason from (select id, concat(title, case id % 4 when 0 then ' (abgesagt)' when 1 then ' fuer Senioren' else '' end) as said from fx)) where reason is not null group by 1"))
+def flt3(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat("title", F.expr("case id % 4 when 0 then ' (abgesagt)' when 1 then ' fuer Senioren' else '' end"))
+    reason = classify.exclusion_reason(said, F.lit("musik"), F.lit(""), F.when(c("id") % 9 == 0, F.concat(F.lit("zu: "), "venue")), F.lit(""))
+    return pub.reason_counts(listings(spark, d).withColumn("reason", reason))
+
+
+@query("set2_all_sources", _fx("""select id, case when id % 3 = 0 then null else title end as title, case when id % 3 = 1 then null else venue end as venue, case when id % 3 = 2 then 'x' end as url from fx"""))
+def set2(spark: SparkSession, d: str) -> DataFrame:
+    rows = listings(spark, d)
+    a, b, e = (rows.where(c("id") % 3 == k) for k in range(3))
+    return tables.all_sources(a.select("id", "venue"), b.select("title", "id"), e.select("id", "title", "venue", F.lit("x").alias("url"))).select("id", "title", "venue", "url")
+
+
+@query("src10_recorded_runs", "select event_id as id, user_id % 20 as source, event_type <> 'error' as ok from events")
+def src10(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after two appends."""
+    e = tables.read_table(spark, d, "events").select(c("event_id").alias("id"), (c("user_id") % 20).alias("source"), (c("event_type") != "error").alias("ok"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    runs.record_runs(e.where("id % 2 = 0"), path)
+    runs.record_runs(e.where("id % 2 = 1"), path)
+    return spark.read.parquet(path)

@@ -72,3 +72,11 @@ def source_registry(sources: DataFrame) -> DataFrame:
     """Sources with their dense rank position from 0, best first."""
     pos = F.row_number().over(Window.orderBy("rank", "source")) - 1  # a dimension of some dozens of rows
     return sources.withColumn("pos", pos)
+
+
+def all_sources(*feeds: DataFrame) -> DataFrame:
+    """Listings of all sources in one table; columns that a source lacks are null there."""
+    out = feeds[0]
+    for f in feeds[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
