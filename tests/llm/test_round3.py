@@ -177,3 +177,36 @@ def test_text_of_odd_pages(spark, model):
     assert got[4]["text"].count("\n\n") == 20000 and "rights" not in got[4]["text"]
     empty = df.where("false")
     assert html_text.extract_text(empty, model).count() == 0
+
+
+def test_dense_tiles_keep_no_pairs():
+    """2,048 vectors that all link with each other: roots and counts slice by slice, in bounded memory."""
+    import tracemalloc
+
+    from eventloom.llm import embed_dedup
+
+    x = np.ones((2048, 64)) + np.random.default_rng(0).normal(0, 0.01, (2048, 64))
+    tracemalloc.start()
+    links, root = 0, np.arange(2048)
+    for i, j in embed_dedup.similar_in_slices(x, x, np.eye(64), 0.9):
+        links += len(i)
+        root = embed_dedup._roots(root, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == 2048 * 2048 and not root.any() and peak < 150e6
+
+
+@pytest.mark.parametrize("n,m", [(50, 30), (200, 150), (300, 600)])
+def test_roots_of_links_in_parts(n, m):
+    from eventloom.llm import embed_dedup
+
+    g = np.random.default_rng(n)
+    i, j = g.integers(0, n, m), g.integers(0, n, m)
+    label = np.arange(n)
+    for k in range(0, m, 7):
+        label = embed_dedup._roots(label, i[k : k + 7], j[k : k + 7])
+    want = list(range(n))
+    for _ in range(n):
+        for a, b in zip(i, j):
+            want[a] = want[b] = min(want[a], want[b])
+    assert label.tolist() == want
