@@ -88,6 +88,7 @@ def build(
     for c in ("kind", "excluded", "flavour"):
         if c not in extra:
             info = info.withColumn(c, F.lit(None).cast("string"))
-    events = suffixed_uids(merged).join(info, merged.ort == F.col("slug"), "left").drop("slug")
+    # Both steps after this read their input twice, so it is cut before each.
+    events = cut(suffixed_uids(merged).join(info, merged.ort == F.col("slug"), "left").drop("slug"))
     events = inherit_category(events).where(~F.col("category").isin(*DROPPED))
-    return mark_ongoing(excluded(events).where("reason is null")).drop("reason", "kind", "excluded")
+    return mark_ongoing(cut(excluded(events).where("reason is null"))).drop("reason", "kind", "excluded")
