@@ -14,7 +14,9 @@ loses no pair. Of a title's runs only the rarer ones are posted (see :func:`_rar
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,70 +220,72 @@ def lineups(rows: DataFrame) -> DataFrame:
     return heads.join(keyed.select(F.col("id").alias("b"), *key), key).where("a <> b").select("a", "b")
 
 
-def _greedy(batch: pd.DataFrame) -> pd.DataFrame:
-    """Group one component: best pairs first, never two rows of one source; then the forced merges."""
-    edges = batch[batch.kind != "node"]
-    nodes = batch[batch.kind == "node"]
-    parent = {i: i for i in nodes.a}
-    sources = {i: {s} for i, s in zip(nodes.a, nodes.source)}
-    size = dict.fromkeys(parent, 1)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def unite(x: int, y: int, force: bool) -> None:
-        x, y = root(x), root(y)
-        if x != y and (force or not sources[x] & sources[y]):
-            parent[y] = x
-            sources[x] |= sources[y]
-            size[x] += size[y]
-
-    pairs = edges[edges.kind == "pair"]
-    order = sorted(zip(pairs.umbrella, -pairs.score, pairs.a.astype(str), pairs.b.astype(str), pairs.a, pairs.b))
-    for *_, x, y in order:
-        unite(x, y, False)
-    for x, y in zip(*(edges[edges.kind == "self"][c] for c in "ab")):
-        unite(x, y, True)
-    line = edges[edges.kind == "line"].sort_values(["a", "b"])
-    for x, y in zip(line.a, line.b):
-        if size[root(y)] == 1:
-            unite(x, y, True)
-    groups: dict[int, list[int]] = {}
-    for i in parent:
-        groups.setdefault(root(i), []).append(i)
-    return pd.DataFrame([(i, min(g)) for g in groups.values() for i in g], columns=["id", "cluster"])
+#: Turns in which a component's rows are taken: its listings, the accepted pairs, then the forced merges.
+NODE, PAIR, SELF, LINE = range(4)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, cluster) from rows sorted by component and turn; only the labels of one component are held.
+
+    Pairs never bring two listings of one source together, forced merges do; a line-up takes in listings that are still alone.
+    """
+    label: dict[int, int] = {}
+    members: dict[int, list[int]] = {}
+    sources: dict[int, set[str]] = {}
+    current = None
+
+    def settled() -> pa.RecordBatch:
+        rows = [(i, min(group)) for group in members.values() for i in group]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["id", "cluster"])
+
+    for batch in batches:
+        for component, turn, a, b, source in zip(*(batch.column(c).to_pylist() for c in ("component", "turn", "a", "b", "source"))):
+            if component != current:
+                if members:
+                    yield settled()
+                current = component
+                for held in (label, members, sources):
+                    held.clear()
+            if turn == NODE:
+                label[a], members[a], sources[a] = a, [a], {source}
+                continue
+            x, y = label[a], label[b]
+            if x == y or (turn == PAIR and not sources[x].isdisjoint(sources[y])) or (turn == LINE and len(members[y]) > 1):
+                continue
+            if len(members[x]) < len(members[y]):
+                x, y = y, x
+            label.update(dict.fromkeys(members[y], x))
+            members[x] += members.pop(y)
+            sources[x] |= sources.pop(y)
+    if members:
+        yield settled()
 
 
 def clusters(rows: DataFrame, house_sources: tuple[str, ...] = (), accepted: DataFrame | None = None) -> DataFrame:
     """(id, cluster) of all listings; a cluster is named by its smallest id. ``accepted`` spares looking for the pairs again.
 
     Merges never leave a connected component of the pairs, and a component never leaves its date, so each component is
-    grouped on its own; its members are the listings of one event and its lookalikes that day.
+    grouped on its own; its members are the listings of one event and its lookalikes that day. ``rows`` are read several times:
+    pass them cut.
     """
-    rows, none = cut(rows), F.lit(None)
+    none = F.lit(None)
     pairs = accepted_pairs(rows, house_sources) if accepted is None else accepted
-    pairs = pairs.select("a", "b", "score", "umbrella", F.lit("pair").alias("kind"))
-    forced = lambda df, kind: df.select("a", "b", F.lit(1.0).alias("score"), F.lit(False).alias("umbrella"), F.lit(kind).alias("kind"))
-    edges = pairs.unionAll(forced(self_duplicates(rows), "self")).unionAll(forced(lineups(rows), "line"))
-    edges = cut(edges)
+    pairs = pairs.select("a", "b", "score", "umbrella", F.lit(PAIR).alias("turn"))
+    forced = lambda df, turn: df.select("a", "b", F.lit(1.0).alias("score"), F.lit(False).alias("umbrella"), F.lit(turn).alias("turn"))
+    edges = cut(pairs.unionAll(forced(self_duplicates(rows), SELF)).unionAll(forced(lineups(rows), LINE)))
     comp = connected_components(edges.select("a", "b"))
     nodes = rows.join(comp, rows.id == comp.node).select(
-        "component", F.col("id").alias("a"), none.cast("long").alias("b"), F.lit(0.0).alias("score"), F.lit(False).alias("umbrella"), F.lit("node").alias("kind"), "source"
+        "component", F.col("id").alias("a"), none.cast("long").alias("b"), F.lit(0.0).alias("score"), F.lit(False).alias("umbrella"), F.lit(NODE).alias("turn"), "source"
     )
-    marked = edges.join(comp, edges.a == comp.node).select("component", "a", "b", "score", "umbrella", "kind", none.cast("string").alias("source"))
-    grouped = nodes.unionByName(marked).groupBy("component").applyInPandas(_greedy_typed, "id long, cluster long")
+    marked = edges.join(comp, edges.a == comp.node).select("component", "a", "b", "score", "umbrella", "turn", none.cast("string").alias("source"))
+    # Best pairs first; ids of pairs are compared as text, those of forced merges as numbers.
+    as_text = [F.when(F.col("turn") == PAIR, F.col(c).cast("string")) for c in "ab"]
+    turns = nodes.unionByName(marked).repartition("component")
+    turns = turns.sortWithinPartitions("component", "turn", "umbrella", F.desc("score"), *as_text, "a", "b")
+    grouped = turns.select("component", "turn", "a", "b", "source").mapInArrow(_grouped, "id long, cluster long")
     return rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-def _greedy_typed(batch: pd.DataFrame) -> pd.DataFrame:
-    batch = batch.copy()
-    batch["b"] = batch["b"].fillna(-1).astype("int64")
-    return _greedy(batch).astype("int64")
-
-
 def best_ranks(delivered: DataFrame, ranks: DataFrame, unknown: int) -> DataFrame:
     """(id, rank): the best rank among all sources that delivered a listing (``delivered``: id, source); sources without a rank stand last."""
     ranked = delivered.join(ranks, "source", "left")

@@ -75,10 +75,11 @@ def build(
     given = set(listings.columns)
     texts = [F.lit(None).cast("string").alias(c) for c in ("url", "image_url", "description", "price_text") if c not in given]
     base = classify.slugged(listings.select("*", *texts), r_="raw_category", t_="title", v_="venue")
-    base = base.withColumn("category", classify.category(F.col("r_"), F.col("t_"), F.col("v_"))).drop("r_", "t_", "v_")
+    # Cut, as the filters of the gate would otherwise work out the slugs anew for each rule, and three readers follow.
+    base = cut(base.withColumn("category", classify.category(F.col("r_"), F.col("t_"), F.col("v_"))).drop("r_", "t_", "v_"))
     kept, new = gate(base, registry)
     kept = cut(kept)
-    rows = dedup.prepared(kept, aliases, umbrella_source, sections)
+    rows = cut(dedup.prepared(kept, aliases, umbrella_source, sections))
     member = dedup.clusters(rows, house_sources)
     ordered = dedup.canonical_order(rows.join(kept.select("id", "rank"), "id"), member, F.coalesce("rank", F.lit(n_ranks)))
     merged = merge.merge_clusters(kept.join(ordered.select("id", "cluster", "pos"), "id"))

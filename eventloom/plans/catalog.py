@@ -323,7 +323,7 @@ def clu1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("clu3_clusters")
 def clu3(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.clusters(dedup.prepared(listings(spark, d).withColumn("category", F.lit("musik"))))
+    return dedup.clusters(cut(dedup.prepared(listings(spark, d).withColumn("category", F.lit("musik")))))
 
 
 @query(
