@@ -250,3 +250,19 @@ def ip_hash(ip: Column, day: Column, salt: str) -> Column:
 
 def local_day(ts: Column, zone: str = "Europe/Berlin") -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def place_search_name(name: Column) -> Column:
+    """A venue's name for an address search: no brackets, no operator after a dash, no building after "im", no "Dresden" at its end."""
+    t = F.regexp_replace(name, r"\([^)]*\)", "")
+    t = F.regexp_replace(t, r"(?sU)\s+[-–]\s+.*", "")
+    t = F.regexp_replace(t, r"(?U)\s+im\s+.*$", "")
+    t = F.regexp_replace(t, r"(?U)\s*\bDresden\b\s*$", "")
+    return strip(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def postal_address(street: Column, postcode: Column, city: Column, given: Column) -> Column:
+    """Street, then postcode and city, from those that are told; without a street the address as it was given."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    town = F.concat_ws(" ", said(postcode), said(city))
+    return F.when(said(street).isNotNull(), F.concat_ws(", ", street, said(town))).otherwise(given)

@@ -235,7 +235,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current = None
 
     def settled() -> pa.RecordBatch:
-        rows = [(i, min(group)) for group in members.values() for i in group]
+        rows = [(i, first) for group in members.values() for first in (min(group),) for i in group]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["id", "cluster"])
 
     for batch in batches:

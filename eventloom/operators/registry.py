@@ -46,10 +46,10 @@ def registry_json(venues: DataFrame) -> DataFrame:
 
 
 def geo_table(venues: DataFrame) -> DataFrame:
-    """(slug, json): name and place, rounded, of located venues that are no meeting points."""
+    """(slug, json): name, place, region and kind (null if unknown) of located venues that are no meeting points."""
     fit = venues.where(located(F.col("lat"), F.col("lon")) & not_meeting_point(F.col("kind")))
-    place = F.struct("name", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
-    return fit.select("slug", F.to_json(place).alias("json"))
+    place = F.struct(F.col("name").alias("n"), "lat", "lon", F.col("region").alias("r"), F.col("kind").alias("k"))
+    return fit.select("slug", F.to_json(place, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def set_favourites(venues: DataFrame, marks: DataFrame) -> DataFrame:

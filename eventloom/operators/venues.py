@@ -108,3 +108,8 @@ def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: i
     j = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.ort") < F.col("y.ort")))
     out = j.groupBy(F.col("x.ort").alias("a"), F.col("y.ort").alias("b"))
     return out.agg(F.count("*").alias("n"), F.min_by("x.title", F.struct("x.date", "x.key")).alias("example")).where(F.col("n") >= least)
+
+
+def suspects(pairs: DataFrame, most: int = 15) -> DataFrame:
+    """The ``most`` pairs of :func:`suspicious_pairs` that share most, ties by name; the report of possibly double venues."""
+    return pairs.orderBy(F.desc("n"), "a", "b").limit(most)

@@ -18,13 +18,16 @@ DROPPED = ("fuehrungen",)
 
 
 def gate(listings: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept listings with venue and region, new venues): tours go before they can create a venue, far places after."""
+    """(kept listings with venue and region, new venues): tours go before they can create a venue, far places after.
+
+    Listings come with the region that their own spelling of the venue tells; it counts where the venue has none.
+    """
     kept = listings.where(~F.col("category").isin(*DROPPED))
     resolved, new = venues.resolve(kept, registry)
     regions = registry.select("slug", "region").unionByName(new.select("slug", "region"))
     regions = regions.groupBy("slug").agg(F.min("region").alias("v_region"))
     out = resolved.join(regions, resolved.ort == regions.slug, "left").drop("slug")
-    return out.withColumn("region", F.coalesce("v_region", classify.region(tx.slugify(F.col("venue"))))).drop("v_region").where("region <> 'weiter'"), new
+    return out.withColumn("region", F.coalesce("v_region", "region")).drop("v_region").where("region <> 'weiter'"), new
 
 
 def suffixed_uids(events: DataFrame) -> DataFrame:
@@ -66,22 +69,26 @@ def build(
     sections: tuple[str, ...] = (),
     house_sources: tuple[str, ...] = (),
     aliases: dict[str, str] | None = None,
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """Events from listings (id, source, rank, date, time, title, venue, raw_category and optional texts).
 
     ``umbrella_source`` lists festivals as a row of their own under headings that are none of ``sections``; ``house_sources``
-    are venues' own pages; ``aliases`` joins venue keys.
+    are venues' own pages; ``aliases`` joins venue keys; ``details`` (one row a url) fills what listings leave blank.
     """
     given = set(listings.columns)
     texts = [F.lit(None).cast("string").alias(c) for c in ("url", "image_url", "description", "price_text") if c not in given]
     base = classify.slugged(listings.select("*", *texts), r_="raw_category", t_="title", v_="venue")
     # Cut, as the filters of the gate would otherwise work out the slugs anew for each rule, and three readers follow.
-    base = cut(base.withColumn("category", classify.category(F.col("r_"), F.col("t_"), F.col("v_"))).drop("r_", "t_", "v_"))
+    told = {"category": classify.category(F.col("r_"), F.col("t_"), F.col("v_")), "region": classify.region(F.col("v_"))}
+    base = cut(base.withColumns(told).drop("r_", "t_", "v_"))
     kept, new = gate(base, registry)
     kept = cut(kept)
     rows = cut(dedup.prepared(kept, aliases, umbrella_source, sections))
     member = dedup.clusters(rows, house_sources)
     ordered = dedup.canonical_order(rows.join(kept.select("id", "rank"), "id"), member, F.coalesce("rank", F.lit(n_ranks)))
+    if details is not None:
+        kept = merge.with_details(kept, details)
     merged = merge.merge_clusters(kept.join(ordered.select("id", "cluster", "pos"), "id"))
     merged = merged.withColumn("uid", tx.event_uid(F.col("date"), F.col("time"), F.col("title"), F.col("venue")))
     extra = [c for c in ("kind", "excluded", "flavour") if c in registry.columns]

@@ -483,7 +483,7 @@ _Q["build_events"] = flagship
 
 
 def _load() -> None:
-    from . import extra, extraction, more, publishing, upkeep  # noqa: F401  they register their queries on import
+    from . import dimensions, extra, extraction, more, publishing, upkeep  # noqa: F401  they register their queries on import
 
 
 def queries() -> dict[str, Query]:

@@ -74,6 +74,19 @@ def source_registry(sources: DataFrame) -> DataFrame:
     return sources.withColumn("pos", pos)
 
 
+def ranked_by(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows with ``pos`` of their source in a :func:`source_registry`; unknown sources stand behind all known ones."""
+    places = registry.select(F.col("source").alias("s_"), "pos")
+    known = registry.agg(F.count("*")).scalar()
+    return rows.join(places, rows.source == F.col("s_"), "left").withColumn("pos", F.coalesce("pos", known).cast("long")).drop("s_")
+
+
+def shared_ranks(sources: DataFrame) -> DataFrame:
+    """(rank, sources): ranks that more than one source claims, which a registry may not have."""
+    each = sources.groupBy("rank").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return each.where(F.size("sources") > 1)
+
+
 def all_sources(*feeds: DataFrame) -> DataFrame:
     """Listings of all sources in one table; columns that a source lacks are null there."""
     out = feeds[0]
