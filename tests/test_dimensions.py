@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.operators import dedup, dimensions, merge, registry, venues
+from eventloom.plans import build
 from eventloom.sources import tables
 
 
@@ -84,3 +85,11 @@ def test_places_suspects_and_dimensions(spark):
     used = spark.createDataFrame([("techno",), ("zz",), ("kirche",), ("aa",), ("zz",)], "slug string")
     assert [(r["slug"], r["label"]) for r in dimensions.tags(spark, used).collect()] == [("kirche", "Kirche"), ("techno", "Techno"), ("aa", None), ("zz", None)]
     assert {r["slug"]: r["n"] for r in dimensions.counted(dimensions.tags(spark, used), used, "slug").collect()}["zz"] == 2
+
+
+def test_build_fills_listings_from_details(spark):
+    rows = spark.sql("select 1L as id, 'q' as source, 0 as rank, date '2024-01-05' as date, '20:00' as time, 'Großes Konzert' as title, 'Ostpol' as venue, 'Konzert' as raw_category, 'https://x.de/a/1' as url, 'kurz' as description")
+    places = spark.createDataFrame([("ostpol", "Ostpol", [], None, 1)], "slug string, name string, aliases array<string>, region string, pos int")
+    pages = spark.createDataFrame([("https://x.de/a/1", "lang " * 20, "9 €", "i.jpg")], "url string, description string, price_text string, image_url string")
+    got = [(r["description"].strip(), r["price_text"], r["image_url"], r["ort"]) for r in build.build(rows, places, details=pages).collect()]
+    assert got == [(("lang " * 20).strip(), "9 €", "i.jpg", "ostpol")]
