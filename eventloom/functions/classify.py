@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import slugify, words_of
+from .text import once, slugify, words_of
 
 
 def slugged(rows: DataFrame, **texts: str) -> DataFrame:
@@ -36,6 +36,10 @@ def title_decides(slug: Column) -> Column:
 
 def is_sport(slug: Column) -> Column:
     """Sport to take part in; a match to watch is none."""
+    return once(slug, _is_sport)
+
+
+def _is_sport(slug: Column) -> Column:
     return ~slug.rlike(rules.SPECTATOR_SPORT) & slug.rlike(rules.SPORT) & ~slug.rlike(rules.SPORT_NOT)
 
 
@@ -54,13 +58,18 @@ def by_keyword(slug: Column, venue: Column) -> Column:
 
 def category(raw: Column, slug: Column, venue: Column) -> Column:
     """Category from the slugs of raw category, title and venue, in stages."""
+    slugs = F.struct(raw.alias("raw"), slug.alias("slug"), venue.alias("venue"))
+    return once(slugs, lambda x: _category(x["raw"], x["slug"], x["venue"]))
+
+
+def _category(raw: Column, slug: Column, venue: Column) -> Column:
     key = F.replace(raw, F.lit("-"), F.lit(""))
     table = tuple((a.replace("-", ""), b) for a, b in rules.RAW_CATEGORIES)
-    by_raw = first_rule(key, table)
-    by_raw = F.when((by_raw == "sport") & slug.rlike(rules.SPECTATOR_SPORT), "sonstiges").otherwise(by_raw)
+    watched = lambda told: F.when((told == "sport") & slug.rlike(rules.SPECTATOR_SPORT), "sonstiges").otherwise(told)
+    by_raw = once(once(key, lambda k: first_rule(k, table)), watched)
     return F.coalesce(
         title_decides(slug),
-        F.when(is_sport(slug), "sport"),
+        F.when(_is_sport(slug), "sport"),
         by_raw,
         F.when(is_film_venue(venue), "kultur"),
         by_keyword(slug, venue),
@@ -85,6 +94,10 @@ def tags(t: Column, v: Column, kind: Column) -> Column:
 
 def region(slug: Column) -> Column:
     """"dresden", "umland" (near) or "weiter" (far) from a venue's slug; "dresden" in doubt."""
+    return once(slug, _region)
+
+
+def _region(slug: Column) -> Column:
     words = words_of(slug)
 
     def town(names: tuple[str, ...]) -> Column:
@@ -120,6 +133,11 @@ AREAS = {
 
 def facets(slug: Column, cat: Column, venue: Column, flavour: Column) -> Column:
     """Ordered facets of an event from the slugs of its title and venue, its category and its venue's flavour."""
+    given = F.struct(slug.alias("slug"), cat.alias("cat"), venue.alias("venue"), flavour.alias("flavour"))
+    return once(given, lambda x: _facets(x["slug"], x["cat"], x["venue"], x["flavour"]))
+
+
+def _facets(slug: Column, cat: Column, venue: Column, flavour: Column) -> Column:
     none = F.lit(None).cast("string")
     cat = F.coalesce(cat, F.lit(""))
     flavour = F.coalesce(flavour, F.lit(""))
