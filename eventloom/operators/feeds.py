@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import classify, extract as ex, rules
-from ..functions.text import slugify
+from ..functions.text import once, slugify
 
 LATE = "99:99"
 
@@ -182,7 +182,8 @@ def umbrella_rows(slots: DataFrame, lineups: DataFrame) -> DataFrame:
 
 def is_large_house(venue_slug: Column) -> Column:
     """Whether a venue's slug names a large house; no venue is none."""
-    return F.exists(F.array(*map(F.lit, rules.LARGE_HOUSES)), lambda p: F.contains(F.coalesce(venue_slug, F.lit("")), p))
+    parts = F.array(*map(F.lit, rules.LARGE_HOUSES))
+    return once(F.coalesce(venue_slug, F.lit("")), lambda slug: F.exists(parts, lambda p: F.contains(slug, p)))
 
 
 def allowed(rows: DataFrame) -> DataFrame:
@@ -203,11 +204,20 @@ def place_name(location: Column) -> Column:
 def place_in_region(location: Column) -> tuple[Column, Column]:
     """(place, whether it is in reach) of "town, place, street"; a place in a town around carries the town's name."""
     parts = F.filter(F.transform(F.split(F.coalesce(location, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    town, place = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    here = F.lower(town) == "dresden"
-    near = classify.region(slugify(town)) == "umland"
-    around = F.when(near, F.concat_ws(" ", place, town))
-    return F.when(here, place).when(town.isNotNull(), around), F.when(town.isNotNull(), here | near).otherwise(True)
+
+    def told(x: Column) -> Column:
+        town, place = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        here = F.lower(town) == "dresden"
+        near = classify.region(slugify(town)) == "umland"
+        return F.struct(place.alias("place"), town.alias("town"), here.alias("here"), F.when(~here, near).alias("near"))
+
+    def judged(x: Column) -> Column:
+        around = F.when(x["near"], F.concat_ws(" ", x["place"], x["town"]))
+        place = F.when(x["here"], x["place"]).when(x["town"].isNotNull(), around)
+        return F.struct(place.alias("place"), F.when(x["town"].isNotNull(), x["here"] | x["near"]).otherwise(True).alias("near"))
+
+    both = once(once(parts, told), judged)
+    return both["place"], both["near"]
 
 
 def assemblies(texts: DataFrame, start: str, end: str, column: str = "value") -> DataFrame:
