@@ -97,17 +97,36 @@ def fill_empty(registry: DataFrame, news: DataFrame, fields: tuple[str, ...]) ->
     return j.withColumns({f: F.when(empty(f), F.col(f"n_{f}")).otherwise(F.col(f)) for f in fields}).select(*registry.columns)
 
 
-def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: int = 2) -> DataFrame:
-    """(a, b, n, example): venue pairs that share a date and title key at least ``least`` times."""
+#: Blocks of venues: two of them meet in one task, which counts their pairs.
+BLOCKS = 16
+
+
+def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: int = 2, example: bool = True) -> DataFrame:
+    """(a, b, n, example): venue pairs that share a date and title key at least ``least`` times.
+
+    A date's venues of one key are dealt to each two blocks of venues; all pairs of two blocks are made and counted in one
+    task, so no pair is shuffled before it is counted. ``example`` is the first shared title as venue a spells it.
+    """
     keys = events.select("date", "title", "ort", tx.title_key(F.col("title")).alias("key"))
     keys = keys.where("key <> '' and ort is not null and ort <> ''")
     if excluded is not None:
         keys = keys.where(~excluded)
     one = keys.groupBy("date", "key", "ort").agg(F.min("title").alias("title"))
-    x, y = one.alias("x"), one.alias("y")
-    j = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.ort") < F.col("y.ort")))
-    out = j.groupBy(F.col("x.ort").alias("a"), F.col("y.ort").alias("b"))
-    return out.agg(F.count("*").alias("n"), F.min_by("x.title", F.struct("x.date", "x.key")).alias("example")).where(F.col("n") >= least)
+    block = F.pmod(F.xxhash64("ort"), F.lit(BLOCKS)).cast("int")
+    lists = one.groupBy("date", "key", block.alias("block")).agg(F.array_sort(F.collect_list("ort")).alias("orts"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = lists.select("date", "key", "block", "orts", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tile = ["lo", "hi"]
+    sides = [F.first(F.when(F.col("block") == F.col(c), F.col("orts")), ignorenulls=True).alias(s) for c, s in zip(tile, ("xs", "ys"))]
+    met = dealt.repartition(BLOCKS * (BLOCKS + 1) // 2, *tile).groupBy(*tile, "date", "key").agg(*sides)
+    pairs = met.select(*tile, "date", "key", F.explode("xs").alias("x"), "ys").select(*tile, "date", "key", "x", F.explode("ys").alias("y"))
+    pairs = pairs.where("x < y or (lo < hi and x > y)").select(*tile, "date", "key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = [F.min(F.struct("date", "key")).alias("at")] if example else []
+    out = pairs.groupBy(*tile, "a", "b").agg(F.count("*").alias("n"), *first).where(F.col("n") >= least)
+    if not example:
+        return out.select("a", "b", "n")
+    told = one.select(F.struct("date", "key").alias("at"), F.col("ort").alias("a"), F.col("title").alias("example"))
+    return out.join(told, ["at", "a"]).select("a", "b", "n", "example")
 
 
 def suspects(pairs: DataFrame, most: int = 15) -> DataFrame:

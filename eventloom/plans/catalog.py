@@ -334,7 +334,7 @@ def clu3(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def joi7(spark: SparkSession, d: str) -> DataFrame:
-    return venues.suspicious_pairs(listings(spark, d).withColumn("ort", c("venue"))).select("a", "b", "n")
+    return venues.suspicious_pairs(listings(spark, d).withColumn("ort", c("venue")), example=False).select("a", "b", "n")
 
 
 @query("joi8_detail_candidates", _fx("select distinct f.venue from fx f where f.venue <> 'TBA' and not exists (select 1 from supplier where s_name = f.venue)"))
