@@ -28,6 +28,15 @@ NO_PLACE = ("facebook", "twitter", "whatsapp", "mailto", ".ics", "reservix", "ev
 CATEGORY_HINTS = ("Konzert", "Party", "Kunst", "Festival", "Film", "Theater", "Lesung", "Gespräch", "Diskussion")
 FAR = 1 << 30
 HOPS = 6
+#: Characters of html that a task takes; its tokens are sorted several times, so its memory is some hundred times that.
+TASK_CHARS = 4 << 20
+
+
+def by_page(pages: DataFrame) -> DataFrame:
+    """Pages dealt by page to as many tasks as their html asks for, so that a task's memory does not grow with the table."""
+    chars = pages.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(least, -(-chars // TASK_CHARS)), "page_id")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -45,7 +54,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, name, token): kind "open", "close" or "text"; position -1 opens the page itself."""
     html = F.coalesce("html", F.lit(""))
     every = F.concat(F.array(F.lit("<page>")), F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)))
-    each = pages.repartition("page_id").select("page_id", F.posexplode(every).alias("at", "token"))
+    each = by_page(pages).select("page_id", F.posexplode(every).alias("at", "token"))
     t, name = F.col("token"), F.lower(F.regexp_extract("token", TAG, 2))
     silent = (name != "") & (name.isin("script", "style", *VOID) | t.endswith("/>"))
     kind = F.when(t.startswith("</") & (name != ""), "close").when(name != "", "open").when(~t.rlike(r"^<[!?]"), "text")
