@@ -12,9 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import line_dedup, near_copies, packing, secrets, toxicity
+from eventloom.llm import line_dedup, near_copies, packing, secrets, simhash, toxicity
 from eventloom.llm.queries import table, vocabulary
-from eventloom.operators.components import ensure_checkpoint_dir
+from eventloom.operators.components import connected_components, ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (Jaccard 0.8 or more on shingles of five words)."""
-    return near_copies.keep_first(docs)
+    """The document with the smallest id of each group that SimHash (2 bits) or shared shingles (Jaccard 0.8 or more, of five words) link."""
+    by_print = simhash.simhash_components(docs).select("doc_id", "component_id")
+    by_set = near_copies.near_copy_groups(docs).select("doc_id", "group_id")
+    groups = connected_components(by_print.unionAll(by_set))
+    return simhash.without(docs, groups.where("node <> component").select("node"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
