@@ -3,11 +3,14 @@
 A word's embedding is the sum of the embeddings of its hashed forms (the word and its
 prefixes), so inflected words share what they have in common. Filters of widths 1 to 3
 slide over the words, each filter is max-pooled over the whole text, and a logistic
-layer gives the score. Trained in numpy in one task from a bounded sample of the
-labelled rows (``MAX_ROWS`` of either class, those with the smallest hashes of their
-id), so the driver only ever holds the model; scored in Arrow batches where the texts are.
-Every fifth row of the sample is left out of the word statistics and of the steps; the
-score's scale and the thresholds by language are calibrated on those rows.
+layer gives the score. Every labelled row that may be learnt is: the rows are dealt by the
+hash of their id to shards of about ``SHARD`` rows and coded once. Word statistics are counted
+over all shards; then, in each round, one task a shard takes the common model some epochs on, in numpy, and the
+models are averaged (each embedding over the shards that moved it). The driver only ever holds the
+model, whose size the hash space bounds; texts are scored in Arrow batches where they are.
+Every fifth row of a shard is left out of the word statistics and of the steps; the
+score's scale and the thresholds by language are calibrated on all of those rows, whose logits
+are counted in steps of 1/``STEPS``.
 
 The score depends on the text alone. Nulls: a null text counts as empty and is scored
 like an empty one; a null language takes the general threshold; a null ``doc_id`` is
@@ -30,13 +33,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on the training sample: rows of either class.
-MAX_ROWS = 2500
-#: Hash space of word forms; only forms in at least MIN_DOCS sampled texts get an embedding.
-SPACE, MIN_DOCS = 1 << 26, 4
+from ..operators.components import cut
+
+#: Labelled rows of a shard, about; rounds of averaging, and epochs of each.
+SHARD, ROUNDS, EPOCHS = 5000, 3, 3
+#: Hash space of word forms, which bounds the model; only forms in at least MIN_DOCS fitted texts get an embedding.
+SPACE, MIN_DOCS = 1 << 20, 4
 PREFIXES = (4, 5, 6)
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 CUT = 0.3
+STEPS = 1024
+#: Bits of an id's hash that index the filter of labelled ids.
+FILTER = 24
+#: Parameters travel as whole numbers of this size's inverse, so that their sums do not depend on the order.
+_UNIT = 1 << 24
 MEMO, CHARS = 300_000, 2_000_000
 _WORD = re.compile(r"\w+")
 
@@ -55,9 +65,9 @@ def forms(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """``rows`` maps a form's hash to its row of ``emb`` (row 0 is zero); filter width w has taps ``conv[w]`` (w, DIM, FILTERS)."""
+    """The form with hash ``keys[i]`` (sorted) has row i + 1 of ``emb`` (row 0 is zero); filter width w has taps ``conv[w]`` (w, DIM, FILTERS)."""
 
-    rows: dict[int, int]
+    keys: np.ndarray
     emb: np.ndarray
     conv: dict[int, np.ndarray]
     bias: np.ndarray
@@ -69,7 +79,14 @@ class Model:
     general: float = CUT
 
     def known(self, word: str) -> list[int]:
-        return [self.rows.get(f, 0) for f in forms(word)]
+        return self.rows_of(np.array(forms(word))).tolist()
+
+    def rows_of(self, own: np.ndarray) -> np.ndarray:
+        """Rows of ``emb`` of an array of hashes, 0 for those without one."""
+        if not len(self.keys):
+            return np.zeros(own.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, at + 1, 0).astype(np.int32)
 
 
 def _windows(v: np.ndarray, conv: dict[int, np.ndarray]) -> np.ndarray:
@@ -88,15 +105,15 @@ def _pooled(v: np.ndarray, starts: np.ndarray, conv: dict[int, np.ndarray]) -> n
     return np.maximum.reduceat(out, edges, axis=0)[::2]
 
 
-def _layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(form rows of all words, texts in a row with zero padding between; where each text begins)."""
-    pad = np.zeros((max(WIDTHS) - 1, 1 + len(PREFIXES)), np.int32)
+def _layout(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words, texts in a row with padding between; where each text begins)."""
+    gap = np.full(max(WIDTHS) - 1, pad, np.int32)
     parts, starts, at = [], [], 0
     for t in texts:
         starts.append(at)
-        body = t if len(t) else pad[:1]
-        parts += [body, pad]
-        at += len(body) + len(pad)
+        body = t if len(t) else gap[:1]
+        parts += [body, gap]
+        at += len(body) + len(gap)
     return np.concatenate(parts), np.array(starts)
 
 
@@ -116,115 +133,145 @@ def left_out(n: int) -> np.ndarray:
 
 
 def train(texts: Iterable[str | None], labels: np.ndarray, epochs: int = 9, seed: int = 7, prior: bool = True) -> Model:
-    """Fit the network; the rows of :func:`left_out` give no word statistics and no steps, and set the score's scale.
+    """Fit the network in this process; the rows of :func:`left_out` give no word statistics and no steps, and set the score's scale.
 
     With ``prior`` the first axis of a form's embedding starts as its log odds in the fitted rows, else all start at random.
     """
-    return _train(*coded(texts), labels, epochs, seed, prior)
+    numbers, vocabulary = coded(texts)
+    labels, own = np.asarray(labels, np.int64), _forms_of(vocabulary)
+    keys, counts = _form_counts(numbers, own, labels)
+    m = _start(keys, counts, np.bincount(labels[~left_out(len(labels))], minlength=2), seed, prior)
+    _epochs(m, _fresh(m), numbers, own, labels, epochs, np.random.default_rng([seed, 0]))
+    rest = np.flatnonzero(left_out(len(labels)))
+    m.scale, m.shift = _scaled(logits(m, [numbers[i] for i in rest], own), labels[rest], np.ones(len(rest)))
+    return m
+
+
+def _forms_of(vocabulary: list[str]) -> np.ndarray:
+    """(words, forms of a word): their hashes, -1 for none."""
+    return np.array([forms(w) for w in vocabulary], np.int32).reshape(-1, 1 + len(PREFIXES))
 
 
-def _train(numbers: list[np.ndarray], vocabulary: list[str], labels: np.ndarray, epochs: int, seed: int, prior: bool) -> Model:
+def _form_counts(numbers: list[np.ndarray], own: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the fitted rows' forms, sorted; (2, hashes): in how many rows of either class)."""
+    counts = np.zeros((2, SPACE), np.int64)
+    for i in np.flatnonzero(~left_out(len(numbers))):
+        mine = np.unique(own[np.unique(numbers[i])])
+        counts[labels[i], mine[mine >= 0]] += 1
+    keys = np.flatnonzero(counts.sum(0))
+    return keys, counts[:, keys]
+
+
+def _start(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, seed: int, prior: bool = True) -> Model:
+    """The model before any step; forms in fewer than MIN_DOCS rows are left out, ``totals`` are the fitted rows of either class."""
     rng = np.random.default_rng(seed)
-    fit = np.flatnonzero(~left_out(len(numbers)))
-    own = [forms(w) for w in vocabulary]
-    seen: dict[int, list[int]] = {}
-    for i in fit:
-        mine = set()
-        for k in np.unique(numbers[i]):
-            mine.update(own[k])
-        for f in mine - {-1}:
-            seen.setdefault(f, [0, 0])[int(labels[i])] += 1
-    labels = np.asarray(labels, np.int64)
-    totals = np.bincount(labels[fit], minlength=2) + 2.0
-    frequent = [f for f, c in seen.items() if sum(c) >= MIN_DOCS]
-    rows = {f: i + 1 for i, f in enumerate(frequent)}
-    emb = np.zeros((len(rows) + 1, DIM), np.float32)
-    emb[1:] = rng.normal(0, 0.01, (len(rows), DIM))
-    for f, i in rows.items() if prior else ():
-        c = seen[f]
-        emb[i, 0] = np.clip(np.log((c[1] + 0.5) / totals[1]) - np.log((c[0] + 0.5) / totals[0]), -2, 4) / 4
+    often = counts.sum(0) >= MIN_DOCS
+    keys, counts = keys[often], counts[:, often]
+    emb = np.zeros((len(keys) + 1, DIM), np.float32)
+    emb[1:] = rng.normal(0, 0.01, (len(keys), DIM))
+    if prior:
+        rate = (counts + 0.5) / (totals + 2.0)[:, None]
+        emb[1:, 0] = np.clip(np.log(rate[1]) - np.log(rate[0]), -2, 4) / 4
     conv = {w: rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     for w in WIDTHS:
         conv[w][:, 0, :2] += 1.0 / w
-    m = Model(rows, emb, conv, np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32) + 0.2, -1.0)
-    known = np.array([[rows.get(f, 0) for f in o] for o in own] or [[0] * (1 + len(PREFIXES))], np.int32)
-    sums: dict[object, np.ndarray] = {}
+    width = FILTERS * len(WIDTHS)
+    return Model(keys, emb, conv, np.zeros(width, np.float32), rng.normal(0, 0.1, width).astype(np.float32) + np.float32(0.2), -1.0)
+
+
+def _fresh(m: Model) -> dict[str, np.ndarray]:
+    """Sums of squared gradients before any step: of the embeddings, and of all else in a row."""
+    return {"emb": np.full(m.emb.shape, 1e-6, np.float32), "rest": np.full(len(_rest(m)), 1e-6, np.float32)}
 
-    def step(key: object, value: np.ndarray, grad: np.ndarray, at: object = slice(None), rate: float = 0.05) -> None:
-        s = sums.setdefault(key, np.full(value.shape, 1e-6, np.float32))
-        s[at] += grad**2
-        value[at] -= rate * grad / np.sqrt(s[at])
 
-    offset = np.array([m.offset], np.float32)
+def _rest(m: Model) -> np.ndarray:
+    """All parameters but the embeddings in a row."""
+    return np.concatenate([*[m.conv[w].ravel() for w in WIDTHS], m.bias, m.head, [m.offset]]).astype(np.float32)
+
+
+def _set_rest(m: Model, flat: np.ndarray) -> None:
+    shapes = [*[m.conv[w].shape for w in WIDTHS], m.bias.shape, m.head.shape]
+    parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(x)) for x in shapes]))
+    m.conv = {w: parts[k].reshape(shapes[k]) for k, w in enumerate(WIDTHS)}
+    m.bias, m.head, m.offset = parts[-3], parts[-2], float(parts[-1][0])
+
+
+def _epochs(m: Model, sums: dict[str, np.ndarray], numbers: list[np.ndarray], own: np.ndarray, labels: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
+    """Take ``m`` and ``sums`` some epochs on; the rows of ``emb`` that moved."""
+    fit = np.flatnonzero(~left_out(len(numbers)))
+    known = m.rows_of(np.concatenate([own, np.full((1, own.shape[1]), -1, own.dtype)]))  # the last word is the padding
+    moved = np.zeros(len(m.emb), bool)
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
-            flat, starts = _layout([known[numbers[i]] for i in batch])
-            v = m.emb[flat].sum(1)
+        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)) if len(fit) else ():
+            flat, starts = _layout([numbers[i] for i in batch], len(own))
+            held, place = np.unique(flat, return_inverse=True)
+            v = m.emb[known[held]].sum(1)[place]
             out = _windows(v, m.conv) + m.bias
             ends = np.append(starts[1:], len(flat))
             best = np.stack([s + out[s : max(s + 1, e - max(WIDTHS) + 1)].argmax(0) for s, e in zip(starts, ends)])
             top = np.take_along_axis(out, best, 0)
             act = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ m.head + offset, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(act @ m.head + m.offset, -30, 30)))
             err = (p - labels[batch]).astype(np.float32) / len(batch)
             d_act = np.outer(err, m.head) * (top > 0)
-            step("head", m.head, act.T @ err + 1e-4 * m.head)
-            step("offset", offset, np.array([err.sum()], np.float32))
-            step("bias", m.bias, d_act.sum(0))
-            d_v: dict[int, np.ndarray] = {}
-            for k, (w, taps) in enumerate(m.conv.items()):
+            grads, at, d_v = [], [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
+            for k, w in enumerate(WIDTHS):
+                taps = m.conv[w]
                 g = np.zeros_like(taps)
                 for q in range(FILTERS):
                     c = k * FILTERS + q
                     live = np.flatnonzero(d_act[:, c])
+                    e = d_act[live, c]
                     for j in range(w):
-                        at = best[live, c] + j
-                        g[j, :, q] = d_act[live, c] @ v[at]
-                        for a, e in zip(at, d_act[live, c]):
-                            d_v[a] = d_v.get(a, 0) + e * taps[j, :, q]
-                step(("conv", w), taps, g + 1e-4 * taps)
-            if d_v:
-                at = np.array(list(d_v))
-                grad = np.repeat(np.stack(list(d_v.values())), flat.shape[1], 0)
-                hit, where = np.unique(flat[at].ravel(), return_inverse=True)
-                total = np.zeros((len(hit), DIM), np.float32)
-                np.add.at(total, where, grad)
-                real = hit > 0
-                step("emb", m.emb, total[real] + 1e-4 * m.emb[hit[real]], hit[real], 0.02)
-    m.offset = float(offset[0])
-    rest = np.flatnonzero(left_out(len(numbers)))
-    m.scale, m.shift = _scaled(logits(m, (known[numbers[i]] for i in rest)), labels[rest])
-    return m
-
-
-def _scaled(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the labels on the logits, lightly damped, by Newton steps."""
+                        at.append(best[live, c] + j)
+                        g[j, :, q] = e @ v[at[-1]]
+                        d_v.append(np.outer(e, taps[j, :, q]))
+                grads.append((g + 1e-4 * taps).ravel())
+            grad = np.concatenate([*grads, d_act.sum(0), act.T @ err + 1e-4 * m.head, [err.sum()]]).astype(np.float32)
+            sums["rest"] += grad**2
+            _set_rest(m, _rest(m) - 0.05 * grad / np.sqrt(sums["rest"]))
+            touched = known[flat[np.concatenate(at)]]
+            hit, where = np.unique(touched.ravel(), return_inverse=True)
+            total = np.zeros((len(hit), DIM), np.float32)
+            np.add.at(total, where.ravel(), np.repeat(np.concatenate(d_v), touched.shape[1], 0).astype(np.float32))
+            real = hit > 0
+            hit, total = hit[real], total[real] + 1e-4 * m.emb[hit[real]]
+            sums["emb"][hit] += total**2
+            m.emb[hit] -= 0.02 * total / np.sqrt(sums["emb"][hit])
+            moved[hit] = True
+    return np.flatnonzero(moved)
+
+
+def _scaled(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of the labels on the logits, of which each counts ``n`` times, lightly damped, by Newton steps."""
     a = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], 1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        g = x.T @ (p - y) + 0.1 * (a - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        g = x.T @ (n * (p - y)) + 0.1 * (a - [1.0, 0.0])
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         a = a - np.linalg.solve(h, g)
     return (float(a[0]), float(a[1])) if a[0] > 0.1 else (1.0, 0.0)
 
 
-def logits(m: Model, texts: Iterable[np.ndarray]) -> np.ndarray:
+def logits(m: Model, texts: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """One for each text of word numbers; ``own`` holds the words' forms."""
+    table = np.concatenate([m.emb[m.rows_of(own)].sum(1), np.zeros((1, DIM), np.float32)])
     out = []
     for t in texts:
-        flat, starts = _layout([t])
-        top = _pooled(m.emb[flat].sum(1), starts, m.conv) + m.bias
+        flat, starts = _layout([t], len(own))
+        top = _pooled(table[flat], starts, m.conv) + m.bias
         out.append(np.maximum(top, 0) @ m.head + m.offset)
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def calibrate(m: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 30) -> None:
-    """Each language's threshold: the one that errs least on its rows; ``CUT`` if that does, else halfway between scores."""
+def calibrate(m: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], n: np.ndarray, least: int = 30) -> None:
+    """Each language's threshold: the one that errs least on its rows (each counts ``n`` times); ``CUT`` if that does, else halfway between scores."""
 
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(s)
-        s, y = s[order], y[order]
-        errors = np.concatenate([[(y == 0).sum()], (y == 0).sum() + np.cumsum(np.where(y == 1, 1, -1))])
+    def best(s: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+        s, place = np.unique(s, return_inverse=True)
+        clean, toxic = (np.bincount(place, n * (y == c), len(s)) for c in (0, 1))
+        errors = np.concatenate([[clean.sum()], clean.sum() + np.cumsum(toxic - clean)])
         k = np.flatnonzero(errors == errors.min())
         low, high = np.append(0.0, s)[k], np.append(s, 1.0)[k]
         if ((low < CUT) & (CUT <= high)).any():
@@ -232,11 +279,12 @@ def calibrate(m: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str
         return float(np.clip(min((low + high) / 2, key=lambda t: abs(t - CUT)), 0.1, 0.9))
 
     if len(scores) and labels.any():
-        m.general = best(scores, labels)
+        m.general = best(scores, labels, n)
+    of = np.array(langs, object)
     for lang in sorted({x for x in langs if x}):
-        mine = np.array([x == lang for x in langs])
-        if labels[mine].sum() >= least and (1 - labels[mine]).sum() >= least:
-            m.thresholds[lang] = best(scores[mine], labels[mine])
+        mine = of == lang
+        if (n * labels)[mine].sum() >= least and (n * (1 - labels))[mine].sum() >= least:
+            m.thresholds[lang] = best(scores[mine], labels[mine], n[mine])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -244,49 +292,168 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts of either class: those whose ids have the smallest hashes."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id_"))
-    marks = marks.agg(F.max("toxic").alias("toxic_")).where(~held_out(F.col("id_")))
-    order = F.xxhash64("id_")
-    pick = marks.where("toxic_ = 1").orderBy(order, "id_").limit(rows).unionAll(marks.where("toxic_ <> 1").orderBy(order, "id_").limit(rows))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select(F.col("doc_id"), "text", lang.cast("string").alias("lang_")).where(F.col("doc_id").isNotNull())
-    got = F.broadcast(pick).join(texts, F.col("id_") == F.col("doc_id")).groupBy("id_", "toxic_").agg(F.min(F.struct("text", "lang_")).alias("r"))
-    return got.select("id_", (F.col("toxic_") == 1).cast("int").alias("toxic"), F.col("r.text").alias("text"), F.col("r.lang_").alias("lang"))
+def marks_of(labels: DataFrame) -> DataFrame:
+    """(id_, toxic) of every label that may be learnt; ids as text, toxic if any label of the id is."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("string").alias("id_"))
+    return known.agg((F.max("toxic") == 1).cast("int").alias("toxic")).where(~held_out(F.col("id_")))
+
 
+def _maybe_marked(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``texts`` whose ``id_`` may be in ``marks``: one bit for each value of its hash's low ``FILTER`` bits; spares the others the shuffle."""
+    low = F.xxhash64("id_").bitwiseAND(F.lit((1 << FILTER) - 1).cast("long"))
+    word, one = F.shiftright(low, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    table = marks.groupBy(word.alias("at_")).agg(F.bit_or(one).alias("bits_"))
+    return texts.join(F.broadcast(table), (word == F.col("at_")) & (F.col("bits_").bitwiseAND(one) != 0), "left_semi")
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> Model | None:
-    """Train on the bounded sample and calibrate thresholds on its left-out fifth; None without both classes.
 
-    One task trains: it turns each text into word numbers as it arrives and returns the model.
+def _batch(shard: int, toxic: list[int], langs: list[str | None], parts: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    numbers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
+    cols = [pa.array([shard] * len(parts), pa.int32()), pa.array(toxic, pa.int32()), pa.array(langs, pa.string()), numbers]
+    return pa.RecordBatch.from_arrays(cols, names=["shard", "toxic", "lang", "numbers"])
+
+
+def shards_of(docs: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
+    """(shard, toxic, lang, numbers) of all marked texts as word numbers; a shard ends with its words' forms (toxic -1).
+
+    A shard lies in one partition, in one order whatever the partitions before; of a repeated id the least text counts.
+    A mark stands before the texts of its id, so texts are shuffled once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y: list[int] = []
-        langs: list[str | None] = []
-
-        def texts() -> Iterator[str | None]:
-            for b in batches:
-                for i in range(len(b)):
-                    y.append(b.column(0)[i].as_py())
-                    langs.append(b.column(2)[i].as_py())
-                    yield b.column(1)[i].as_py()
-
-        numbers, vocabulary = coded(texts())
-        truth = np.array(y, np.int64)
-        if len(set(y)) == 2:
-            m = _train(numbers, vocabulary, truth, 9, 7, True)
-            known = np.array([m.known(w) for w in vocabulary] or [[0] * (1 + len(PREFIXES))], np.int32)
-            rest = np.flatnonzero(left_out(len(y)))
-            z = logits(m, (known[numbers[i]] for i in rest))
-            calibrate(m, _squashed(m, z), truth[rest], [langs[i] for i in rest])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], names=["model"])
+        shard, last, y, place = None, None, 0, {}
+        toxic, langs, parts, held = [], [], [], 0
+
+        def end() -> pa.RecordBatch:
+            return _batch(shard, [*toxic, -1], [*langs, None], [*parts, _forms_of(list(place)).ravel()])
 
-    # One order, whatever the partitions: the sample's ids by hash.
-    ordered = sample(docs, labels, rows).repartition(1).sortWithinPartitions(F.xxhash64("id_"), "id_")
-    got = ordered.select("toxic", "text", "lang").mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(got[0]["model"])) if got else None
+        for b in batches:
+            for at, key, mark, text, lang in zip(*(c.to_pylist() for c in b.columns)):
+                if at != shard:
+                    if shard is not None:
+                        yield end()
+                    shard, last, place = at, None, {}
+                    toxic, langs, parts, held = [], [], [], 0
+                if mark is not None:
+                    last, y = key, mark
+                    continue
+                if key != last:
+                    continue
+                last = None
+                found = words(text)
+                parts.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int32, len(found)))
+                toxic.append(y)
+                langs.append(lang)
+                held += len(found)
+                if held >= CHARS:
+                    yield _batch(shard, toxic, langs, parts)
+                    toxic, langs, parts, held = [], [], [], 0
+        if shard is not None:
+            yield end()
+
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    texts = docs.select(F.col("doc_id").cast("string").alias("id_"), F.lit(None).cast("int").alias("toxic"), "text", lang.cast("string").alias("lang"))
+    texts = _maybe_marked(texts.where(F.col("id_").isNotNull()), marks)
+    rows = texts.unionByName(marks, allowMissingColumns=True)
+    # Another hash deals the shards, so that a shard's order tells nothing of its number.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id_", F.lit(1)), F.lit(shards)).cast("int")).select("shard", "id_", "toxic", "text", "lang")
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("id_"), "id_", F.col("toxic").asc_nulls_last(), "text", "lang")
+    return cut(dealt.mapInArrow(run, "shard int, toxic int, lang string, numbers array<int>"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[str | None], list[np.ndarray], np.ndarray]]:
+    """(shard, labels, languages, texts as word numbers, forms of the words) of each shard of :func:`shards_of`."""
+    y, langs, numbers = [], [], []
+    for b in batches:
+        lists = b.column(3)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, (shard, toxic, lang) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            part = values[offsets[i] : offsets[i + 1]]
+            if toxic >= 0:
+                y.append(toxic)
+                langs.append(lang)
+                numbers.append(part)
+            else:
+                yield shard, np.array(y, np.int64), langs, numbers, part.reshape(-1, 1 + len(PREFIXES))
+                y, langs, numbers = [], [], []
+
+
+def _counted(coded_rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, (2, hashes) rows of either class that hold them, rows of either class) over the fitted rows of all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, y, _, numbers, own in _read(batches):
+            keys, counts = _form_counts(numbers, own, y)
+            totals = np.bincount(y[~left_out(len(y))], minlength=2)
+            cols = [np.append(keys, -1), *(np.append(counts[c], totals[c]) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["form", "clean", "toxic"])
+
+    found = coded_rows.mapInArrow(run, "form long, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = found.where((F.col("form") < 0) | (F.col("clean") + F.col("toxic") >= MIN_DOCS)).toArrow()
+    form, counts = got["form"].to_numpy(), np.stack([got["clean"].to_numpy(), got["toxic"].to_numpy()])
+    order = np.argsort(form)
+    return form[order][1:], counts[:, order][:, 1:], counts[:, order][:, 0]
+
+
+def _one_round(coded_rows: DataFrame, m: Model, sums: dict[str, np.ndarray], number: int, epochs: int, seed: int) -> None:
+    """Take ``m`` and ``sums`` some epochs on in every shard and average; a shard counts by its fitted rows."""
+    width = 2 * DIM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, y, _, numbers, own in _read(batches):
+            mine, squares = pickle.loads(pickle.dumps((m, sums)))
+            moved = _epochs(mine, squares, numbers, own, y, epochs, np.random.default_rng([seed, number, shard]))
+            rest = np.concatenate([_rest(mine), squares["rest"]])
+            rest = np.append(rest, np.zeros(-len(rest) % width)).reshape(-1, width)
+            values = np.concatenate([rest, np.concatenate([mine.emb[moved], squares["emb"][moved]], 1)])
+            weight = max(1, int((~left_out(len(y))).sum()))
+            at = np.concatenate([-1 - np.arange(len(rest)), moved])
+            units = np.rint(values.astype(np.float64) * _UNIT).astype(np.int64) * weight
+            cols = [pa.array(at), pa.array(np.full(len(at), weight)), *(pa.array(units[:, k]) for k in range(width))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = ["at", "weight", *(f"v{k}" for k in range(width))]
+    got = coded_rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("at").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    got = got.select("at", *((F.col(c) / F.col("weight") / _UNIT).cast("float").alias(c) for c in names[2:])).toArrow()
+    at, values = got["at"].to_numpy(), np.stack([got[c].to_numpy() for c in names[2:]], 1)
+    hit = at > 0
+    m.emb[at[hit]], sums["emb"][at[hit]] = values[hit, :DIM], values[hit, DIM:]
+    rest = values[~hit][np.argsort(-at[~hit])].ravel()
+    n = len(sums["rest"])
+    sums["rest"] = rest[n : 2 * n].copy()
+    _set_rest(m, rest[:n])
+
+
+def _left_out_logits(coded_rows: DataFrame, m: Model) -> pa.Table:
+    """(lang, toxic, step, n): how many left-out rows of all shards have which logit, in steps of 1/STEPS from -32 to 32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, y, langs, numbers, own in _read(batches):
+            rest = np.flatnonzero(left_out(len(y)))
+            step = np.rint(np.clip(logits(m, [numbers[i] for i in rest], own), -32, 32) * STEPS).astype(np.int64)
+            cols = [pa.array([langs[i] for i in rest], pa.string()), pa.array(y[rest]), pa.array(step)]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "toxic", "step"])
+
+    return coded_rows.mapInArrow(run, "lang string, toxic long, step long").groupBy("lang", "toxic", "step").agg(F.count("*").alias("n")).toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, seed: int = 7) -> Model | None:
+    """Train on every labelled row that may be learnt, about ``shard`` of them a task, and calibrate on the left-out fifth; None without both classes."""
+    marks = marks_of(labels)
+    n = {r["toxic"]: r["count"] for r in marks.join(docs.select(F.col("doc_id").cast("string").alias("id_")), "id_", "left_semi").groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return None
+    coded_rows = shards_of(docs, marks, -(-sum(n.values()) // shard))
+    m = _start(*_counted(coded_rows), seed)
+    sums = _fresh(m)
+    for k in range(ROUNDS):
+        _one_round(coded_rows, m, sums, k, EPOCHS, seed)
+    found = _left_out_logits(coded_rows, m)
+    z, y, n = found["step"].to_numpy() / STEPS, found["toxic"].to_numpy(), found["n"].to_numpy()
+    m.scale, m.shift = _scaled(z, y, n)
+    calibrate(m, _squashed(m, z), y, found["lang"].to_pylist(), n)
+    return m
 
 
 def _squashed(m: Model, z: np.ndarray) -> np.ndarray:
@@ -303,8 +470,7 @@ def score_texts(m: Model, texts: list[str | None], memo: dict[str, int]) -> np.n
     if new:
         at = len(memo) - 1
         memo.update(zip(new, range(at, at + len(new))))
-        rows = np.array([m.known(w) for w in new], np.int32)
-        memo[b"table"] = np.concatenate([memo[b"table"], m.emb[rows].sum(1)])
+        memo[b"table"] = np.concatenate([memo[b"table"], m.emb[m.rows_of(_forms_of(new))].sum(1)])
     pad = [""] * (max(WIDTHS) - 1)
     starts, at = [], 0
     codes: list[int] = []
