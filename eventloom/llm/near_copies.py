@@ -10,8 +10,9 @@ match's head (prefix filter) becomes postings; those of a shingle that no other
 are linked in two steps, so that a group of k near copies need not list its k*k pairs: each
 document is first compared with the hub it shares most postings with (the document of a
 shingle's list whose shingles are the most widespread), then all pairs that still lie in
-different components are. Length and positional filters are lossless, and each remaining
-pair is verified on the whole sets. Sets and shingles are told apart by 64-bit hashes.
+different components are. Length, positional and parity filters are lossless, and each remaining
+pair is verified on the whole sets; the parity bits, of one size for any set, keep the sets of documents
+that share no more than a few shingles from being shuffled. Sets and shingles are told apart by 64-bit hashes.
 
 Nulls: a null text counts as empty, and empty texts are copies of each other; rows without a
 ``doc_id`` are kept, and count for a group's smallest id only if it has no other.
@@ -36,6 +37,8 @@ BUCKETS = 1 << 18
 #: Bits of a set's hash that index the filter of wanted sets (2 MB).
 FILTER = 24
 _FLUSH = 1 << 20
+#: Parity bits of a set.
+PARITY = 1024
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -53,6 +56,12 @@ def _identity(s: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits as longs: the XOR of two sets' bits has at most as many ones as the sets differ in shingles."""
+    odd = np.bincount(s >> 20 & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -83,22 +92,23 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def heads(docs: DataFrame, classes: np.ndarray, size: int, threshold: float) -> DataFrame:
-    """(doc_id, h, n, head) of each row: its set's hash, size and the shingles of which a match must have one in its own head."""
+    """(doc_id, h, n, head, parity) of each row: its set's hash, size, the shingles of which a match must have one in its own head, parity bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ns, parts = [], [], []
+            hs, ns, parts, bits = [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), size)
                 k = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
                 parts.append(s[np.lexsort((s, classes[s & (BUCKETS - 1)]))[:k]])
                 hs.append(_identity(s))
                 ns.append(len(s))
-            cols = [b.column(0), pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), _lists(parts)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "head"])
+                bits.append(_parity(s))
+            cols = [b.column(0), pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), _lists(parts), _lists(bits)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "head", "parity"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, n long, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, n long, head array<long>, parity array<long>")
 
 
 def _filter_bits(wanted: DataFrame) -> bytes:
@@ -141,9 +151,17 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     return F.least(n - i, m - j, n, m) >= _need(n, m, threshold)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+def _may_equal(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Those of the (h, o) pairs whose parity bits leave a match a chance; ``marks`` has (h, n, parity)."""
+    x, y = (marks.select(F.col("h").alias(h), F.col("n").alias(n), F.col("parity").alias(p)) for h, n, p in (("h", "n", "p"), ("o", "m", "q")))
+    both = pairs.join(x, "h").join(y, "o")
+    differ = F.aggregate(F.zip_with("p", "q", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, c: a + c)
+    return both.where(differ <= F.col("n") + F.col("m") - 2 * _need(F.col("n"), F.col("m"), threshold)).select("h", "o")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, size: int, threshold: float) -> DataFrame:
     """Those of the (h, o) pairs that match."""
-    pairs = cut(pairs)
+    pairs = cut(_may_equal(pairs, marks, threshold))
     sets = cut(whole_sets(docs, pairs.select("h").unionAll(pairs.select("o")).distinct(), size))
     x, y = (sets.select(F.col("h").alias(h), F.col("tokens").alias(t)) for h, t in (("h", "s"), ("o", "t")))
     both = pairs.join(x, "h").join(y, "o")
@@ -152,6 +170,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) ->
 
 def matches(docs: DataFrame, folded: DataFrame, size: int, threshold: float) -> DataFrame:
     """Edges (h, o) of matching sets whose components are those of all matching pairs."""
+    marks = cut(folded.select("h", "n", "parity"))
     each = folded.select("h", "n", F.posexplode("head").alias("i", "tok"))
     spread = F.count("*").over(Window.partitionBy("tok"))
     posts = cut(each.withColumn("spread", spread).where("spread > 1"))
@@ -161,20 +180,20 @@ def matches(docs: DataFrame, folded: DataFrame, size: int, threshold: float) ->
     met = met.where((F.col("x.h") != F.col("hub.h")) & _may_match("x", "hub", threshold))
     best = met.groupBy(F.col("x.h").alias("h"), F.col("hub.h").alias("o")).agg(F.count("*").alias("c"))
     best = best.groupBy("h").agg(F.max(F.struct("c", "o"))["o"].alias("o"))
-    stars = cut(_verified(best, docs, size, threshold))
+    stars = cut(_verified(best, docs, marks, size, threshold))
     comp = connected_components(stars)
     placed = posts.join(comp, posts.h == comp.node, "left").withColumn("comp", F.coalesce("component", "h"))
     lists = placed.groupBy("tok", "comp").agg(F.collect_list(F.struct("h", "n", "i")).alias("rows"))
     a, b = (lists.select("tok", F.col("comp").alias(f"c{s}"), F.col("rows").alias(f"r{s}")) for s in "ab")
     across = a.join(b, "tok").where("ca < cb").select(F.explode("ra").alias("x"), "rb").select("x", F.explode("rb").alias("y"))
     rest = across.where(_may_match("x", "y", threshold)).select(F.col("x.h").alias("h"), F.col("y.h").alias("o")).distinct()
-    return stars.unionAll(_verified(rest, docs, size, threshold))
+    return stars.unionAll(_verified(rest, docs, marks, size, threshold))
 
 
 def near_copy_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, group_id), a row for each row of ``docs``; a group is named by its smallest ``doc_id``."""
     marked = cut(heads(docs, rarity(docs, size), size, threshold))
-    folded = marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
+    folded = marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity"))
     comp = connected_components(matches(docs, folded, size, threshold))
     rooted = marked.groupBy("h").agg(F.min("doc_id").alias("first")).join(comp, F.col("h") == comp.node, "left")
     rooted = rooted.select("h", "first", F.coalesce("component", "h").alias("root"))
