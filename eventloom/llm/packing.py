@@ -24,6 +24,7 @@ gives no piece.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -42,7 +43,7 @@ SCHEMA = (
     "tier int, step_group long"
 )
 #: Chunks remembered by a worker before it starts anew; characters encoded at once; ids queued before short tiers are packed.
-MEMO, CHARS, QUEUED = 1_000_000, 1_000_000, 400_000
+MEMO, CHARS, QUEUED = 400_000, 250_000, 400_000
 #: New words encoded in one string.
 JOINED = 64
 STEP_TOKENS = 65_536
@@ -73,6 +74,8 @@ class ChunkEncoder:
     """Ids of texts by a tokenizer whose tokens never cross white space: each distinct chunk is encoded once."""
 
     def __init__(self, path: str) -> None:
+        # A task has one core: threads of the tokenizer's own would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         tokens = self.tok.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
