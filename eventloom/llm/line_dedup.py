@@ -38,7 +38,7 @@ BUCKETS = 1 << 16
 #: A token is frequent if its hash bucket holds more than one word in so many.
 FREQUENT = 4096
 #: Token sets up to this size keep their parity bits in one long.
-SHORT = 64
+SHORT = 96
 #: Bits of the table of lines to read again.
 FILTER = 22
 _CLASS = 55
@@ -64,7 +64,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     each = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
-    return each.where(F.rlike("line", F.lit(r"\S"))).withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
+    return each.where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "").withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
 def _bucket(h: Column) -> Column:
@@ -86,12 +86,25 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<int>"), frequent
 
 
-def token_set(line: Column, rank: Column) -> Column:
-    """The line's distinct tokens as longs, rarest first."""
-    hashes = F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
-    found = F.transform(hashes, lambda h: F.shiftleft(F.get(rank, _bucket(h)).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    # Never null, so no join infers a null check that would build every line's set once more.
-    return F.coalesce(F.sort_array(found), F.array().cast("array<long>"))
+def with_tokens(lines: DataFrame, rank: Column) -> DataFrame:
+    """``lines`` with ``line`` replaced by ``tokens``: its distinct tokens as longs, rarest first.
+
+    An operator whose expressions hold a lambda is not compiled, nor is anything that is an argument of one. So the two
+    lambdas stand in projections of their own, and what comes between them in explodes of one element, which are
+    compiled and which no optimizer merges (nor does it build the sets once for every use). The outer form adds no filter.
+    """
+    kept = [c for c in lines.columns if c != "line"]
+    only = lambda c, name: F.explode_outer(F.array(c)).alias(name)
+    # Elements that cannot be null are sorted as longs, not as objects.
+    rank_of = lambda h: F.coalesce(F.get(rank, _bucket(h)), F.lit(0)).cast("long")
+    split = lines.select(*kept, only(words(F.col("line")), "ws"))
+    hashed = split.select(*kept, F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    distinct = hashed.select(*kept, only(F.array_remove(F.array_distinct("hs"), F.xxhash64(F.lit(""))), "ds"))
+    ranked = distinct.select(
+        *kept, F.transform("ds", lambda h: F.shiftleft(rank_of(h), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 9))).alias("ts")
+    )
+    # Never null, so no join infers a null check.
+    return ranked.select(*kept, only(F.coalesce(F.sort_array("ts"), F.array().cast("array<long>")), "tokens"))
 
 
 def _share(threshold: float) -> Column:
@@ -132,18 +145,21 @@ def _postings(tokens: Column, threshold: float, frequent: int) -> Column:
     k = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
     at = lambda i: F.least(i, F.lit(0x7FFF)).cast("long") * 65536 + size
     pack = lambda t, i: F.shiftleft(t, 32).bitwiseOR(at(i))
-    is_frequent = lambda t: F.shiftrightunsigned(t, _CLASS) >= frequent
     one_longer = F.slice(tokens, 1, k + 1)
     plain = F.transform(F.slice(tokens, 1, k), pack)
-    # Tokens stand in order of class, so the frequent ones are the last of a prefix.
-    rare = F.slice(tokens, 1, F.size(F.filter(F.slice(tokens, 1, k), lambda t: ~is_frequent(t))))
-    first = F.size(F.filter(one_longer, lambda t: ~is_frequent(t)))
+    # Tokens stand in order of class, so the frequent ones are the last of a prefix, from where the least of them would stand.
+    least = F.lit(frequent << _CLASS)
+    first = F.array_position(F.sort_array(F.concat(one_longer, F.array(least))), least).cast("int") - 1
+    rare = F.slice(tokens, 1, F.least(first, k))
     often = F.slice(tokens, first + 1, F.greatest(F.size(one_longer) - first, F.lit(0)))
-    pairs = F.flatten(
-        F.transform(often, lambda a, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda b: pack(F.xxhash64(a, b), first + i)))
+    # Lambdas work out whatever they name once an element, so what they need stands in a row of its own.
+    bound = F.array(F.struct(often.alias("often"), first.alias("first")))
+    each = lambda r: F.transform(
+        r.often, lambda a, i: F.transform(F.slice(r.often, i + 2, F.size(r.often)), lambda b: pack(F.xxhash64(a, b), r.first + i))
     )
+    pairs = F.flatten(F.flatten(F.transform(bound, each)))
     mixed = F.concat(F.transform(rare, pack), pairs)
-    return F.when((n < 2) | ~is_frequent(F.element_at(one_longer, -1)), plain).otherwise(mixed)
+    return F.when((n < 2) | (F.element_at(one_longer, -1) < least), plain).otherwise(mixed)
 
 
 def _tok(side: str) -> Column:
@@ -180,8 +196,7 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     """((h, g, first): distinct lines with their first place; hashes h of those that match an earlier different line)."""
     lines = lines_of(docs).withColumn("place", place(F.col("doc_id"), F.col("line_no")))
     rank, frequent = rarity(docs)
-    # Exploding keeps the optimizer from building the sets, or the postings, once for every use; the outer form adds no filter.
-    sets = lines.select("h", "g", "place", F.explode_outer(F.array(token_set(F.col("line"), rank))).alias("tokens"))
+    sets = with_tokens(lines.select("h", "g", "place", "line"), rank)
     s1, s2 = _sketch(F.col("tokens"))
     posted = sets.select("h", "g", "place", _postings(F.col("tokens"), threshold, frequent).alias("ps"), s1.alias("s1"), s2.alias("s2"))
     folded = posted.groupBy("h", "g", "ps", "s1", "s2").agg(F.min("place").alias("first"))
@@ -191,7 +206,7 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h")
     paired = cut(paired.agg(F.collect_set("p").alias("ps"), F.max("s1").alias("s1"), F.max("s2").alias("s2")))
     again = _maybe_in(lines, paired).groupBy("h").agg(F.min(F.struct("place", "line")).alias("r"))
-    full = again.join(paired, "h").select("h", "ps", "s1", "s2", F.col("r.place").alias("place"), F.explode_outer(F.array(token_set(F.col("r.line"), rank))).alias("tokens"))
+    full = with_tokens(again.join(paired, "h").select("h", "ps", "s1", "s2", F.col("r.place").alias("place"), F.col("r.line").alias("line")), rank)
     heavy = full.select("h", "place", "s1", "s2", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
     # What they share stands from there on, so earlier tokens need not travel; a place too large to pack keeps them all.
     start = F.shiftright("p", 16).bitwiseAND(F.lit(0x7FFF).cast("long")).cast("int")
