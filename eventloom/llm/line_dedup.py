@@ -16,7 +16,8 @@ join keeps the lines that share a posting with another line and pass the length,
 and 128-bit parity filters, all of which are lossless. Only those lines are read again, with
 their whole token sets, for a second semi join, which verifies the similarity exactly
 and stops at the first earlier match, so a group of k near copies costs its postings, not
-its k*k pairs. Which lines are read again is asked of a bit table of fixed size first; where
+its k*k pairs. Postings that hold the same lines (near copies share most of their prefix) are one
+there, from the first of its tokens on, so a token set is sent once for each company its line is in. Which lines are read again is asked of a bit table of fixed size first; where
 it is crowded it only spares less.
 
 Nulls: a null text has no lines and stays null; a null ``doc_id`` stands before all
@@ -72,7 +73,7 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """(rarity class of each hash bucket; lowest class of frequent tokens).
+    """(rarity class of each hash bucket, where tokens hold it; lowest class of frequent tokens).
 
     The classes (four to a doubling of the word occurrences in all texts) are one array of ``BUCKETS`` numbers, whatever
     the corpus, so they go into the plan as a literal: lookups inside array functions need one.
@@ -83,7 +84,7 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
     n[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     classes = np.floor(4 * np.log2(n)).astype(int)
     frequent = max(1, int(np.ceil(4 * np.log2(max(2.0, n.sum() / FREQUENT)))))
-    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<int>"), frequent
+    return F.split(F.lit(",".join(str(c << _CLASS) for c in classes.tolist())), ",").cast("array<long>"), frequent
 
 
 def with_tokens(lines: DataFrame, rank: Column) -> DataFrame:
@@ -96,12 +97,12 @@ def with_tokens(lines: DataFrame, rank: Column) -> DataFrame:
     kept = [c for c in lines.columns if c != "line"]
     only = lambda c, name: F.explode_outer(F.array(c)).alias(name)
     # Elements that cannot be null are sorted as longs, not as objects.
-    rank_of = lambda h: F.coalesce(F.get(rank, _bucket(h)), F.lit(0)).cast("long")
+    rank_of = lambda h: F.coalesce(F.get(rank, _bucket(h)), F.lit(0).cast("long"))
     split = lines.select(*kept, only(words(F.col("line")), "ws"))
     hashed = split.select(*kept, F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     distinct = hashed.select(*kept, only(F.array_remove(F.array_distinct("hs"), F.xxhash64(F.lit(""))), "ds"))
     ranked = distinct.select(
-        *kept, F.transform("ds", lambda h: F.shiftleft(rank_of(h), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 9))).alias("ts")
+        *kept, F.transform("ds", lambda h: rank_of(h).bitwiseOR(F.shiftrightunsigned(h, 9))).alias("ts")
     )
     # Never null, so no join infers a null check.
     return ranked.select(*kept, only(F.coalesce(F.sort_array("ts"), F.array().cast("array<long>")), "tokens"))
@@ -192,8 +193,19 @@ def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(table), (word == F.col("at_")) & (F.col("bits_").bitwiseAND(one) != 0), "left_semi")
 
 
+def companies(paired: DataFrame) -> DataFrame:
+    """(h, company, p): of each line's postings (h, ps) the first for each company, which is the set of lines that a posting holds.
+
+    Lines that share a posting share its company, and there stand at that posting or before it, so no pair is lost, nor
+    would one be if two companies had one number. The upper half of ``p`` no longer counts.
+    """
+    each = paired.select("h", F.explode("ps").alias("p")).select("h", F.shiftright("p", 32).alias("tok"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
+    number = F.xxhash64(F.count("*"), F.bit_xor("h"), F.min("h"), F.max("h"))
+    return each.join(each.groupBy("tok").agg(number.alias("company")), "tok").groupBy("h", "company").agg(F.min("p").alias("p"))
+
+
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """((h, g, first): distinct lines with their first place; hashes h of those that match an earlier different line)."""
+    """((h, g, first, n): distinct lines with their first place and number; (h, g) of those that match an earlier different line)."""
     lines = lines_of(docs).withColumn("place", place(F.col("doc_id"), F.col("line_no")))
     rank, frequent = rarity(docs)
     sets = with_tokens(lines.select("h", "g", "place", "line"), rank)
@@ -204,31 +216,35 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     near = (_tok("x") == _tok("y")) & (F.col("x.h") != F.col("y.h")) & _may_match(threshold)
     # Two matching lines meet at the first token they share, in rows that both pass; only such rows go on.
     paired = light.alias("x").join(light.alias("y"), near, "left_semi").groupBy("h")
-    paired = cut(paired.agg(F.collect_set("p").alias("ps"), F.max("s1").alias("s1"), F.max("s2").alias("s2")))
+    paired = cut(paired.agg(F.collect_set("p").alias("ps")))
+    met = companies(paired).groupBy("h").agg(F.collect_list(F.struct("company", "p")).alias("ms"))
     again = _maybe_in(lines, paired).groupBy("h").agg(F.min(F.struct("place", "line")).alias("r"))
-    full = with_tokens(again.join(paired, "h").select("h", "ps", "s1", "s2", F.col("r.place").alias("place"), F.col("r.line").alias("line")), rank)
-    heavy = full.select("h", "place", "s1", "s2", "tokens", F.size("tokens").alias("size"), F.explode("ps").alias("p"))
+    full = with_tokens(again.join(met, "h").select("h", F.hash("r.line").alias("g"), "ms", F.col("r.place").alias("place"), F.col("r.line").alias("line")), rank)
+    full = full.select("h", "g", "ms", "place", "tokens", s1.alias("s1"), s2.alias("s2"))
+    heavy = full.select("h", "g", "place", "s1", "s2", "tokens", F.size("tokens").alias("size"), F.inline("ms"))
     # What they share stands from there on, so earlier tokens need not travel; a place too large to pack keeps them all.
     start = F.shiftright("p", 16).bitwiseAND(F.lit(0x7FFF).cast("long")).cast("int")
     start = F.when(start == 0x7FFF, 0).otherwise(start)
-    heavy = heavy.select("p", "h", "place", "s1", "s2", "size", F.slice("tokens", start + 1, F.col("size")).alias("rest"))
+    heavy = heavy.select("company", "p", "h", "g", "place", "s1", "s2", "size", F.slice("tokens", start + 1, F.col("size")).alias("rest"))
     shared = F.size(F.array_intersect(F.col("x.rest"), F.col("y.rest")))
     verified = (
-        (_tok("x") == _tok("y"))
-        & (F.col("x.h") != F.col("y.h"))
+        (F.col("x.company") == F.col("y.company"))
+        & ((F.col("x.h") != F.col("y.h")) | (F.col("x.g") != F.col("y.g")))  # with g on both sides they share one exchange
         & (F.col("y.place") < F.col("x.place"))
         & _may_match(threshold)
         & (shared >= _share(threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     )
-    hit = heavy.alias("x").join(heavy.alias("y"), verified, "left_semi").select("h").distinct()
-    return lines.groupBy("h", "g").agg(F.min("place").alias("first")), hit
+    hit = heavy.alias("x").join(heavy.alias("y"), verified, "left_semi").select("h", "g").distinct()
+    return lines.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")), hit
 
 
 def removed_places(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, th, line_no) of every removed line."""
     distinct, matched = matched_lines(docs, threshold)
-    places = lines_of(docs).select("doc_id", "th", "line_no", "h", "g")
-    where = distinct.join(matched.withColumn("m", F.lit(True)), "h", "left")
+    # Lines that stand once and match none stay; the others are so few that most places need not be shuffled.
+    where = distinct.join(matched.withColumn("m", F.lit(True)), ["h", "g"], "left").where(F.col("m") | (F.col("n") > 1))
+    where = cut(where.select("h", "g", "first", "m"))
+    places = _maybe_in(lines_of(docs).select("doc_id", "th", "line_no", "h", "g"), where)
     later = place(F.col("doc_id"), F.col("line_no")) > F.col("first")
     return places.join(where, ["h", "g"]).where(F.coalesce("m", F.lit(False)) | later).select("doc_id", "th", "line_no")
 
