@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, text as tx
+from . import counting
 
 
 def _names(registry: DataFrame) -> DataFrame:
@@ -101,11 +102,12 @@ def fill_empty(registry: DataFrame, news: DataFrame, fields: tuple[str, ...]) ->
 BLOCKS = 16
 
 
-def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: int = 2, example: bool = True) -> DataFrame:
+def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: int = 2, example: bool = True, most: int | None = None) -> DataFrame:
     """(a, b, n, example): venue pairs that share a date and title key at least ``least`` times.
 
-    A date's venues of one key are dealt to each two blocks of venues; all pairs of two blocks are made and counted in one
-    task, so no pair is shuffled before it is counted. ``example`` is the first shared title as venue a spells it.
+    A date's venues of one key are dealt to each two blocks of venues; all pairs of two blocks are counted in one
+    task (see :mod:`counting`), so no pair is shuffled before it is counted. ``example`` is the first shared title as venue a spells it;
+    it asks for the pairs one by one. With ``most`` (without examples) pairs that cannot be among so many most frequent ones may be left out.
     """
     keys = events.select("date", "title", "ort", tx.title_key(F.col("title")).alias("key"))
     keys = keys.where("key <> '' and ort is not null and ort <> ''")
@@ -119,12 +121,13 @@ def suspicious_pairs(events: DataFrame, excluded: Column | None = None, least: i
     tile = ["lo", "hi"]
     sides = [F.first(F.when(F.col("block") == F.col(c), F.col("orts")), ignorenulls=True).alias(s) for c, s in zip(tile, ("xs", "ys"))]
     met = dealt.repartition(BLOCKS * (BLOCKS + 1) // 2, *tile).groupBy(*tile, "date", "key").agg(*sides)
+    if not example:
+        both = met.where("xs is not null and (lo = hi or ys is not null)").sortWithinPartitions(*tile)
+        counted = both.select(*tile, "xs", "ys").mapInArrow(counting.shared(least, most), counting.SCHEMA).select("x", F.explode("ys").alias("to"))
+        return counted.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b"), F.col("to.n").alias("n"))
     pairs = met.select(*tile, "date", "key", F.explode("xs").alias("x"), "ys").select(*tile, "date", "key", "x", F.explode("ys").alias("y"))
     pairs = pairs.where("x < y or (lo < hi and x > y)").select(*tile, "date", "key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    first = [F.min(F.struct("date", "key")).alias("at")] if example else []
-    out = pairs.groupBy(*tile, "a", "b").agg(F.count("*").alias("n"), *first).where(F.col("n") >= least)
-    if not example:
-        return out.select("a", "b", "n")
+    out = pairs.groupBy(*tile, "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("date", "key")).alias("at")).where(F.col("n") >= least)
     told = one.select(F.struct("date", "key").alias("at"), F.col("ort").alias("a"), F.col("title").alias("example"))
     return out.join(told, ["at", "a"]).select("a", "b", "n", "example")
 

@@ -78,7 +78,7 @@ def scl35(spark: SparkSession, d: str) -> DataFrame:
   f"k as (select distinct date, {s.title_key('title')} as key, venue as ort from fx where {s.title_key('title')} <> '' and venue not like 'Club%')"))
 def top4(spark: SparkSession, d: str) -> DataFrame:
     rows = listings(spark, d).withColumn("ort", c("venue"))
-    return venues.suspects(venues.suspicious_pairs(rows, c("ort").startswith("Club"), example=False)).select("a", "b", "n")
+    return venues.suspects(venues.suspicious_pairs(rows, c("ort").startswith("Club"), example=False, most=15)).select("a", "b", "n")
 
 
 _TWICE = f"""twice as (select id, source_pos, date, time, venue, title from fx union all select id + 5000000000, source_pos, date, time, venue,
