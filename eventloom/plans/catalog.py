@@ -308,11 +308,8 @@ def joi3(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def joi2(spark: SparkSession, d: str) -> DataFrame:
-    rows = dedup.prepared(listings(spark, d).withColumn("category", F.lit("musik"))).where("vkey <> '' and size(tokens) > 0")
-    x, y = rows.alias("x"), rows.alias("y")
-    cond = (c("x.date") == c("y.date")) & (c("x.vkey") == c("y.vkey")) & (c("x.source") != c("y.source")) & (c("x.id") < c("y.id"))
-    overlap, _ = tx.title_overlap(c("x.tokens"), c("y.tokens"))
-    return x.join(y, cond).where(overlap >= 0.6).select(c("x.id").alias("a"), c("y.id").alias("b"), F.round(overlap, 6).alias("overlap"))
+    rows = dedup.prepared(listings(spark, d).withColumn("category", F.lit("musik")))
+    return dedup.overlapping(rows, 0.6).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("clu1_accepted_pairs")
